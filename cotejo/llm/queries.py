@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm.groups import hash_to_min, star_edges
+from cotejo.llm.mixing import mix
+from cotejo.llm.packing import fill_report, pack
+from cotejo.llm.reading import reading_levels
 from cotejo.llm.sql import SQL  # noqa: F401
 from cotejo.llm.survivor import filled, newest, survivors, usable_brand, usable_image
+from cotejo.llm.tokens import with_token_counts
 from cotejo.sources.tables import table
 
 PRICES = ("precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta")
@@ -53,7 +57,50 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("gold_product_id", F.col("base").alias("base_row_id"), F.col("brand").alias("brand_row_id"), F.col("image").alias("image_row_id"))
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return with_token_counts(table(spark, sf, "documents"), "text", ["doc_id", "source"])
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message, whole or cut where it must be, in containers of every capacity."""
+    return pack(_sizes(spark, sf), table(spark, sf, "pack_capacity")).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and unused space for each capacity."""
+    caps = table(spark, sf, "pack_capacity")
+    return fill_report(pack(_sizes(spark, sf), caps), caps)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often every message appears in the mix."""
+    return mix(_sizes(spark, sf), table(spark, sf, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mix(_sizes(spark, sf), table(spark, sf, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_sample")).select("doc_id", "nivel")
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages, mean difficulty and level counts of each source."""
+    docs = table(spark, sf, "documents")
+    d = reading_levels(docs, table(spark, sf, "reading_sample")).join(docs.select("doc_id", "source"), "doc_id")
+    levels = [F.count_if(F.col("nivel") == k).alias(f"level_{k}") for k in (1, 2, 3)]
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("messages"), F.round(F.avg("difficulty"), 3).alias("difficulty"), *levels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
 }
