@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm.groups import hash_to_min, star_edges
+from cotejo.llm.listings import all_pairs, same_item_groups
 from cotejo.llm.mixing import mix
 from cotejo.llm.packing import fill_report, pack
 from cotejo.llm.reading import reading_levels
@@ -23,6 +24,25 @@ def _row_id(x):
     return F.nullif(F.lower(F.trim(x)), F.lit(""))
 
 
+def _same_items(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["name", "brand", *PRICES]
+    rows = newest(table(spark, sf, "bronze_product").select("silver_row_id", "fecha_ultima_revision", *fields), "silver_row_id", "fecha_ultima_revision", fields)
+    price = F.coalesce(*(F.when(F.col(p) > 0, F.col(p)) for p in ("precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta")))
+    return same_item_groups(rows, "silver_row_id", "name", "brand", price)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of listings of the same article."""
+    return all_pairs(_same_items(spark, sf), "left_row_id", "right_row_id")
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each listing that shares its article, with its group and the number of its partners."""
+    g = _same_items(spark, sf)
+    n = g.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("partners"))
+    return g.join(n, "group_id").select(F.col("member").alias("silver_row_id"), F.col("group_id").alias("group_row_id"), "partners")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Group identifier of every listing that decisions or entities link with another one."""
     d = table(spark, sf, "gold_review_llm_decisions").filter("auto_action = 'accept'")
@@ -95,6 +115,8 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p8_pack": p8_pack,
