@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ class _Batch:
         col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
         self.ids = col["doc_id"]
         sizes = col["sizes"]
-        per_doc = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(sizes), 0))
+        per_doc = np.asarray(pc.fill_null(pc.list_value_length(sizes), 0))
         self.words = np.asarray(col["words"].flatten(), dtype=np.float64)
         size = np.asarray(sizes.flatten(), dtype=np.int64)
         self.doc = np.repeat(np.arange(len(per_doc)), per_doc)
