@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from cotejo.functions.catalog import NO_BRAND, name_tokens
 from cotejo.session import Cut, cut
@@ -71,7 +72,7 @@ def token_set_ratio(left: str | None, right: str | None) -> int:
     return round(100 * best)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def token_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(left, right, strict=True)], dtype="int32")
 

@@ -1,4 +1,457 @@
-"""Queries of the price-comparison operators and their SQL."""
+"""Queries of the price-comparison operators over the domain tables, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cotejo.functions import catalog as fn
+from cotejo.operators import matching, store
+from cotejo.sources.tables import table
+
+REF_TIME = "2026-06-01 00:00:00"
+PAIR = ["id_producto_maestro", "id_retailer"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _bronze(spark, sf):
+    """One row for each listing: the newest capture."""
+    b = table(spark, sf, "bronze_product")
+    cols = [c for c in b.columns if c not in ("silver_row_id", "fecha_ultima_revision")]
+    top = F.max(F.struct(F.coalesce("fecha_ultima_revision", F.lit("")).alias("d"), *cols)).alias("t")
+    return b.groupBy("silver_row_id").agg(top).select("silver_row_id", "t.*").drop("d")
+
+
+_BRONZE = "(SELECT * FROM bronze_product QUALIFY row_number() OVER (PARTITION BY silver_row_id ORDER BY fecha_ultima_revision DESC NULLS LAST) = 1)"
+_LATEST = "(SELECT * FROM precio_retailer QUALIFY rank() OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura DESC) = 1)"
+_OFFERS = """(SELECT id_producto_maestro, id_retailer, precio_clp::DOUBLE AS precio, coalesce(disponibilidad, true) AS disponible FROM precio_retailer
+  WHERE precio_clp > 0 QUALIFY row_number() OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura DESC, id_precio DESC) = 1)"""
+
+
+def _offers(spark, sf):
+    """The latest usable price of each product at each retailer."""
+    p = table(spark, sf, "precio_retailer").filter("precio_clp > 0")
+    top = F.max(F.struct("fecha_captura", "id_precio", "precio_clp", "disponibilidad")).alias("t")
+    d = p.groupBy(*PAIR).agg(top)
+    return d.select(*PAIR, F.col("t.precio_clp").cast("double").alias("precio"), F.coalesce("t.disponibilidad", F.lit(True)).alias("disponible"))
+
+
+@query(f"""SELECT m.id_producto, m.nombre_producto, r.id_retailer, r.nombre_retailer, p.precio_clp::DOUBLE AS precio, coalesce(p.disponibilidad, true) AS disponible, p.id_precio,
+CASE WHEN m.valor_medida IS NOT NULL AND u.abreviatura IS NOT NULL THEN m.valor_medida::VARCHAR || ' ' || u.abreviatura ELSE 'unidad' END AS unidad
+FROM {_LATEST} p JOIN producto_maestro m ON m.id_producto = p.id_producto_maestro JOIN store_rank r USING (id_retailer) LEFT JOIN unit_target u USING (id_unidad)""")
+def catalog_latest_price(spark: SparkSession, sf: str) -> DataFrame:
+    return store.catalogue(*(table(spark, sf, t) for t in ("producto_maestro", "precio_retailer", "store_rank", "unit_target")))
+
+
+@query("""SELECT id_precio, id_retailer, precio_clp::DOUBLE AS precio, fecha_captura::DATE::VARCHAR AS dia FROM precio_retailer WHERE id_producto_maestro = 1""")
+def price_history(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "precio_retailer").filter("id_producto_maestro = 1")
+    return p.select("id_precio", "id_retailer", F.col("precio_clp").cast("double").alias("precio"), F.to_date("fecha_captura").cast("string").alias("dia"))
+
+
+@query(f"""SELECT id_producto_maestro, id_retailer, count(*) AS capturas, count(DISTINCT fecha_captura::DATE) AS dias, min(precio_clp)::DOUBLE AS minimo, max(precio_clp)::DOUBLE AS maximo
+FROM precio_retailer WHERE fecha_captura >= TIMESTAMPTZ '{REF_TIME}+00' - INTERVAL 90 DAYS AND fecha_captura <= TIMESTAMPTZ '{REF_TIME}+00' GROUP BY 1, 2""")
+def history_range(spark: SparkSession, sf: str) -> DataFrame:
+    return store.history_ranges(table(spark, sf, "precio_retailer"), REF_TIME, 90)
+
+
+@query("""SELECT id_precio, id_producto_maestro, id_retailer, precio_clp::DOUBLE AS precio,
+round(precio_clp::DOUBLE - lag(precio_clp::DOUBLE) OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura, id_precio), 2) AS diferencia FROM precio_retailer""")
+def price_change_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return store.price_changes(table(spark, sf, "precio_retailer"))
+
+
+@query("""SELECT m.id_producto, min(m.nombre_producto) AS nombre_producto, count(*) AS ofertas, min(p.precio_clp)::DOUBLE AS minimo, count(DISTINCT p.id_retailer) AS retailers
+FROM producto_maestro m JOIN precio_retailer p ON p.id_producto_maestro = m.id_producto JOIN store_rank r USING (id_retailer) WHERE m.nombre_producto ILIKE '%pintura%' GROUP BY 1""")
+def search_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "producto_maestro").filter(F.col("nombre_producto").ilike("%pintura%")).select("id_producto", "nombre_producto")
+    p = table(spark, sf, "precio_retailer").select(F.col("id_producto_maestro").alias("id_producto"), "id_retailer", "precio_clp")
+    d = p.join(m, "id_producto").join(table(spark, sf, "store_rank").select("id_retailer"), "id_retailer")
+    return d.groupBy("id_producto").agg(
+        F.min("nombre_producto").alias("nombre_producto"), F.count(F.lit(1)).alias("ofertas"), F.min("precio_clp").cast("double").alias("minimo"), F.countDistinct("id_retailer").alias("retailers")
+    )
+
+
+@query(f"""SELECT silver_row_id FROM {_BRONZE} WHERE (contains(lower(name), 'latex') OR contains(lower(sku_store), 'latex') OR contains(lower(coalesce(brand, '')), 'latex'))
+AND (contains(lower(name), 'pintura') OR contains(lower(product_url), 'pintura'))""")
+def client_search_chip(spark: SparkSession, sf: str) -> DataFrame:
+    q, chip = "latex", "Pinturas".lower().removesuffix("s").split()[0]
+    has = lambda c, x: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(x))
+    return _bronze(spark, sf).filter((has("name", q) | has("sku_store", q) | has("brand", q)) & (has("name", chip) | has("product_url", chip))).select("silver_row_id")
+
+
+@query(f"""WITH o AS {_OFFERS},
+g AS (SELECT id_producto_maestro AS id_producto, max(precio) AS precio_maximo, count(*) AS offers, min({{'p': precio, 'n': -id_retailer}}) FILTER (disponible) AS b, min({{'r': id_retailer, 'p': precio}}) AS f FROM o GROUP BY 1)
+SELECT id_producto, coalesce(-b.n, f.r)::INT AS id_retailer, coalesce(b.p, f.p) AS precio, precio_maximo, floor((precio_maximo - coalesce(b.p, f.p)) * 100 / precio_maximo + 0.5)::INT AS ahorro_pct, offers FROM g""")
+def best_price(spark: SparkSession, sf: str) -> DataFrame:
+    return store.best_offers(_offers(spark, sf).withColumnRenamed("id_producto_maestro", "id_producto"))
+
+
+@query("""WITH d AS (SELECT DISTINCT id_producto_maestro, fecha_captura::DATE AS dia FROM precio_retailer),
+n AS (SELECT *, row_number() OVER (PARTITION BY id_producto_maestro ORDER BY dia) - 1 AS i, count(*) OVER (PARTITION BY id_producto_maestro) AS n FROM d)
+SELECT id_producto_maestro, dia::VARCHAR AS dia FROM n WHERE n <= 5 OR i IN (0, n // 4, 2 * (n // 4), 3 * (n // 4), n - 1)""")
+def chart_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "precio_retailer").select("id_producto_maestro", F.to_date("fecha_captura").cast("string").alias("dia"))
+    return store.axis_ticks(p, "id_producto_maestro", "dia")
+
+
+@query(f"""WITH o AS {_OFFERS}
+SELECT q.id_cotizacion, count(d.id_detalle) AS lineas, round(coalesce(sum(coalesce(o.precio * d.cantidad, 0)), 0), 2) AS total
+FROM cotizacion q LEFT JOIN detalle_cotizacion d USING (id_cotizacion) LEFT JOIN o ON o.id_producto_maestro = d.id_producto_maestro AND o.id_retailer = d.id_retailer GROUP BY 1""")
+def quote_total(spark: SparkSession, sf: str) -> DataFrame:
+    return store.quote_totals(table(spark, sf, "cotizacion"), table(spark, sf, "detalle_cotizacion"), _offers(spark, sf))
+
+
+@query("""WITH n AS (SELECT d.id_cotizacion, m.nombre_producto, row_number() OVER (PARTITION BY d.id_cotizacion ORDER BY d.id_detalle) AS i
+  FROM detalle_cotizacion d JOIN producto_maestro m ON m.id_producto = d.id_producto_maestro)
+SELECT id_cotizacion, string_agg(nombre_producto, ' | ' ORDER BY i) FILTER (i <= 3) AS items, greatest(count(*) - 3, 0) AS mas FROM n GROUP BY 1""")
+def quote_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return store.quote_cards(table(spark, sf, "detalle_cotizacion"), table(spark, sf, "producto_maestro"))
+
+
+@query(f"""WITH o AS {_OFFERS}, f AS (SELECT id_producto_maestro, min(id_retailer) AS primero FROM o GROUP BY 1)
+SELECT d.id_detalle, d.id_producto_maestro, coalesce(o.id_retailer, f.primero) AS id_retailer, d.cantidad FROM detalle_cotizacion d JOIN f USING (id_producto_maestro)
+LEFT JOIN o ON o.id_producto_maestro = d.id_producto_maestro AND o.id_retailer = d.id_retailer WHERE d.id_producto_maestro IN (SELECT id_producto FROM producto_maestro)""")
+def load_quote_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return store.restored_lines(table(spark, sf, "detalle_cotizacion"), table(spark, sf, "producto_maestro"), _offers(spark, sf))
+
+
+@query("SELECT id_producto_maestro, id_retailer, count(*) AS lineas, sum(cantidad)::BIGINT AS cantidad FROM detalle_cotizacion GROUP BY 1, 2")
+def cart_add(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "detalle_cotizacion").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("lineas"), F.sum("cantidad").alias("cantidad"))
+
+
+@query("SELECT r.nombre_retailer, count(*) AS precios, count(DISTINCT id_producto_maestro) AS productos FROM precio_retailer JOIN store_rank r USING (id_retailer) GROUP BY 1")
+def counts_by_retailer(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "precio_retailer").groupBy("id_retailer").agg(F.count(F.lit(1)).alias("precios"), F.countDistinct("id_producto_maestro").alias("productos"))
+    return n.join(table(spark, sf, "store_rank"), "id_retailer").select("nombre_retailer", "precios", "productos")
+
+
+@query("SELECT id_producto_maestro, count(DISTINCT id_retailer) AS tiendas FROM precio_retailer GROUP BY 1 HAVING count(DISTINCT id_retailer) >= 3")
+def multi_store_products(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "precio_retailer").groupBy("id_producto_maestro").agg(F.countDistinct("id_retailer").alias("tiendas")).filter("tiendas >= 3")
+
+
+_PLAIN_SQL = (
+    "trim(regexp_replace(translate(strip_accents(lower(regexp_replace(replace(replace({0}, '&quot;', '\"'), '&amp;', '&'), '&([a-zA-Z])(acute|tilde);', '\\1', 'g'))), '²³', '23'), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+)
+_NAME_SQL = (
+    "list_filter(string_split_regex(regexp_replace(" + _PLAIN_SQL.format("name") + ", '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) >= 3 AND w NOT IN ("
+    + ", ".join(f"'{w}'" for w in fn.STOP_WORDS) + "))"
+)
+_BRAND_SQL = "CASE WHEN {0} = '' THEN 'SIN MARCA' WHEN {0} IN ('sin marca', 'sinmarca') THEN 'SIN MARCA' WHEN {0} IN ('black and decker', 'black decker') THEN 'BLACK+DECKER' ELSE upper({0}) END"
+_BRAND_SQL = _BRAND_SQL.format(_PLAIN_SQL.format("coalesce(brand, '')"))
+
+
+@query(f"""SELECT silver_row_id, array_to_string({_NAME_SQL}, ' ') AS name_normalized, {_BRAND_SQL} AS brand_normalized, len(list_distinct({_NAME_SQL})) AS tokens FROM {_BRONZE}""")
+def silver_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    n = fn.normalize_name(F.col("name"))
+    return _bronze(spark, sf).select(
+        "silver_row_id", n.alias("name_normalized"), fn.normalize_brand(F.col("brand")).alias("brand_normalized"), F.size(fn.name_tokens(n)).cast("bigint").alias("tokens")
+    )
+
+
+_UNIT_SQL = (
+    "CASE " + " ".join(f"WHEN u IN ({', '.join(repr(a) for a, c in fn.UNIT_ALIASES.items() if c == k)}) THEN '{k}'" for k in dict.fromkeys(fn.UNIT_ALIASES.values())) + " END"
+)
+
+
+@query(f"""SELECT unidad_medida, {_UNIT_SQL} AS unidad, count(*) AS n FROM (SELECT unidad_medida, regexp_replace(translate(lower(unidad_medida), '²³', '23'), '[^a-z0-9]', '', 'g') AS u FROM bronze_product) GROUP BY 1, 2""")
+def unit_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "bronze_product").groupBy("unidad_medida").agg(F.count(F.lit(1)).alias("n"))
+    return b.select("unidad_medida", fn.normalize_unit(F.col("unidad_medida")).alias("unidad"), "n")
+
+
+_SPEC_SQL = "array_to_string(list_sort(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_extract(t, '{p}', 1) <> '' THEN '{k}=' || replace(replace(regexp_extract(t, '{p}', 1), ',', '.'), ' ', '') || '{s}' END" for k, p, s in fn.SPEC_PATTERNS
+) + "], lambda x: x IS NOT NULL)), ';')"
+
+
+@query(f"SELECT silver_row_id, {_SPEC_SQL} AS specs FROM (SELECT silver_row_id, {_PLAIN_SQL.format('name')} AS t FROM {_BRONZE})")
+def numeric_specs(spark: SparkSession, sf: str) -> DataFrame:
+    return _bronze(spark, sf).select("silver_row_id", fn.spec_text(fn.numeric_specs(F.col("name"))).alias("specs"))
+
+
+_PRICES = ("precio_oferta", "precio_internet", "precio_tarjeta", "precio_normal")
+_EFF_SQL = "least(" + ", ".join(f"CASE WHEN {p} > 0 THEN {p} END" for p in _PRICES) + ")"
+
+
+@query(f"""SELECT silver_row_id, e AS precio_efectivo, array_to_string(list_filter([CASE WHEN b = 'SIN MARCA' THEN 'missing_brand' END, CASE WHEN coalesce(sku_store, '') = '' THEN 'missing_sku' END,
+CASE WHEN e IS NULL THEN 'missing_effective_price' END, CASE WHEN un IS NULL AND precio_unitario IS NOT NULL THEN 'unknown_unit' END, CASE WHEN nm = '' THEN 'empty_name_normalized' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM (SELECT *, {_UNIT_SQL} AS un FROM (SELECT *, {_EFF_SQL} AS e, {_BRAND_SQL} AS b, array_to_string({_NAME_SQL}, ' ') AS nm, regexp_replace(translate(lower(unidad_medida), '²³', '23'), '[^a-z0-9]', '', 'g') AS u FROM {_BRONZE}))""")
+def quality_flags(spark: SparkSession, sf: str) -> DataFrame:
+    price = fn.effective_price(*(F.col(p) for p in _PRICES))
+    d = _bronze(spark, sf).select("silver_row_id", "sku_store", "precio_unitario", price.alias("e"), fn.normalize_brand(F.col("brand")).alias("b"), fn.normalize_unit(F.col("unidad_medida")).alias("u"), fn.normalize_name(F.col("name")).alias("nm"))
+    flags = fn.quality_flags(*(F.col(c) for c in ("b", "sku_store", "e", "u", "precio_unitario", "nm")))
+    return d.select("silver_row_id", F.col("e").alias("precio_efectivo"), F.array_join(flags, ",").alias("flags"))
+
+
+_SHOWN_SQL = "'Normal: $ ' || coalesce(precio_normal, 0) || ' Oferta $' || coalesce(precio_unitario::VARCHAR, '-') || ' por ' || coalesce(unidad_medida, 'caja')"
+
+
+@query(f"""SELECT DISTINCT t AS texto, nullif(regexp_replace(t, '[^0-9]', '', 'g'), '')::BIGINT AS digitos FROM (SELECT '$ ' || coalesce(precio_normal::VARCHAR, 'consultar') || ',' || coalesce(precio_oferta, 0) AS t FROM bronze_product)""")
+def parse_price(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "bronze_product")
+    t = F.concat(F.lit("$ "), F.coalesce(F.col("precio_normal").cast("string"), F.lit("consultar")), F.lit(","), F.coalesce("precio_oferta", F.lit(0)).cast("string"))
+    return b.select(t.alias("texto")).distinct().select("texto", fn.parse_price(F.col("texto")).alias("digitos"))
+
+
+@query(f"""SELECT DISTINCT texto, CASE WHEN u <> '' THEN nullif(regexp_replace(a, '[^0-9]', '', 'g'), '')::BIGINT END AS monto, {_UNIT_SQL} AS unidad FROM (
+SELECT *, regexp_extract(t, '{fn.UNIT_PRICE}', 1) AS a, regexp_extract(t, '{fn.UNIT_PRICE}', 2) AS u FROM (
+SELECT {_SHOWN_SQL} AS texto, translate(lower({_SHOWN_SQL}), '²³', '23') AS t FROM bronze_product))""")
+def unit_price_text(spark: SparkSession, sf: str) -> DataFrame:
+    shown = F.concat(
+        F.lit("Normal: $ "), F.coalesce("precio_normal", F.lit(0)).cast("string"), F.lit(" Oferta $"), F.coalesce(F.col("precio_unitario").cast("string"), F.lit("-")), F.lit(" por "), F.coalesce("unidad_medida", F.lit("caja"))
+    )
+    d = table(spark, sf, "bronze_product").select(shown.alias("texto")).distinct().withColumn("r", fn.unit_price_from_text(F.col("texto")))
+    return d.select("texto", F.col("r.amount").alias("monto"), F.col("r.unit").alias("unidad"))
+
+
+@query("""WITH b AS (SELECT silver_row_id, list_filter([precio_normal, precio_internet, precio_oferta, precio_tarjeta], lambda x: x IS NOT NULL) AS l, coalesce(precio_internet, precio_normal) AS u FROM (SELECT DISTINCT silver_row_id, precio_normal, precio_internet, precio_oferta, precio_tarjeta FROM bronze_product))
+SELECT silver_row_id, array_to_string(CASE WHEN u IS NULL OR list_position(l, u) IS NULL OR list_position(l, u) = 0 THEN l ELSE l[1:list_position(l, u) - 1] || l[list_position(l, u) + 1:] END, ',') AS resto FROM b""")
+def bag_difference(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "bronze_product").select("silver_row_id", "precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta").distinct()
+    bag = F.array_compact(F.array("precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta"))
+    rest = fn.bag_difference(bag, F.array(F.coalesce("precio_internet", "precio_normal")))
+    return b.select("silver_row_id", F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("resto"))
+
+
+@query("""SELECT DISTINCT product_url, regexp_replace(regexp_replace(trim(product_url), '[?#].*$', ''), '(/p)(/p)+$', '/p') AS canonica,
+coalesce(nullif(regexp_extract(p, '/articulo/\\d+/[^/]+/(\\d+)', 1), ''), nullif(regexp_extract(p, '-([0-9]{5,})/p', 1), ''), regexp_extract(p, '/(\\d{5,})$', 1)) AS sku
+FROM (SELECT product_url, regexp_extract(trim(product_url), '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM bronze_snapshot)""")
+def url_parts(spark: SparkSession, sf: str) -> DataFrame:
+    u = table(spark, sf, "bronze_snapshot").select("product_url").distinct()
+    return u.select("product_url", fn.canonical_url(F.col("product_url")).alias("canonica"), fn.sku_from_url(F.col("product_url")).alias("sku"))
+
+
+@query("""SELECT DISTINCT url, split_part(url, '?', 1) || CASE WHEN url LIKE '%color=%' THEN '?color=rojo' ELSE '' END AS limpia FROM (
+SELECT split_part(split_part(product_url, '?', 1), '#', 1) || CASE WHEN length(name) % 2 = 0 THEN '?utm_source=x&color=rojo&gclid=1' ELSE '?ref=inicio&UTM_medium=y' END AS url FROM bronze_product)""")
+def url_untracked(spark: SparkSession, sf: str) -> DataFrame:
+    bare = F.substring_index(F.substring_index("product_url", "?", 1), "#", 1)
+    tail = F.when(F.length("name") % 2 == 0, "?utm_source=x&color=rojo&gclid=1").otherwise("?ref=inicio&UTM_medium=y")
+    return table(spark, sf, "bronze_product").select(F.concat(bare, tail).alias("url")).distinct().select("url", fn.untracked_url(F.col("url")).alias("limpia"))
+
+
+@query("""SELECT DISTINCT product_url, CASE WHEN p LIKE '%/articulo/%' THEN '' ELSE coalesce(replace(nullif(s[1], 'p'), '-', ' '), '') END AS categoria
+FROM (SELECT product_url, p, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM (SELECT product_url, regexp_extract(product_url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM bronze_product))""")
+def category_from_url(spark: SparkSession, sf: str) -> DataFrame:
+    u = table(spark, sf, "bronze_product").select("product_url").distinct()
+    return u.select("product_url", fn.category_from_url(F.col("product_url")).alias("categoria"))
+
+
+@query("""SELECT store, count(*) AS total, count(*) FILTER (coalesce(precio_normal, 0) > 0 OR coalesce(precio_internet, 0) > 0 OR coalesce(precio_oferta, 0) > 0 OR coalesce(precio_tarjeta, 0) > 0) AS with_any_price,
+count(*) FILTER (coalesce(sku_store, '') <> '') AS with_sku, count(precio_tarjeta) AS with_precio_tarjeta, count(precio_unitario) AS with_precio_unitario FROM bronze_product GROUP BY 1""")
+def store_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    any_price = F.greatest(*(F.coalesce(p, F.lit(0)) for p in _PRICES)) > 0
+    return table(spark, sf, "bronze_product").groupBy("store").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(any_price).alias("with_any_price"), F.count_if(F.coalesce("sku_store", F.lit("")) != "").alias("with_sku"),
+        F.count("precio_tarjeta").alias("with_precio_tarjeta"), F.count("precio_unitario").alias("with_precio_unitario"),
+    )
+
+
+@query("SELECT e.store, count(b.store) AS filas, count(b.store) = 0 AS falta FROM (SELECT unnest(['ferralto', 'maderix', 'no_existe']) AS store) e LEFT JOIN bronze_product b USING (store) GROUP BY 1")
+def coverage_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    expected = spark.createDataFrame([("ferralto",), ("maderix",), ("no_existe",)], "store string")
+    n = table(spark, sf, "bronze_product").groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+    return expected.join(n, "store", "left").select("store", F.coalesce("n", F.lit(0)).alias("filas"), F.col("n").isNull().alias("falta"))
+
+
+@query("""SELECT store, coalesce(reason, 'ok') AS resultado, count(*) AS filas FROM (SELECT store, CASE WHEN coalesce(trim(product_url), '') = '' THEN 'blank_url' WHEN coalesce(trim(name), '') = '' THEN 'blank_name'
+WHEN coalesce(trim(sku_store, E' \\t\\n'), '') = '' THEN 'blank_sku' END AS reason FROM bronze_product) GROUP BY 1, 2""")
+def bronze_validate(spark: SparkSession, sf: str) -> DataFrame:
+    blank = lambda c: F.coalesce(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""), F.lit("")) == ""
+    why = F.when(blank("product_url"), "blank_url").when(blank("name"), "blank_name").when(blank("sku_store"), "blank_sku").otherwise("ok")
+    return table(spark, sf, "bronze_product").groupBy("store", why.alias("resultado")).agg(F.count(F.lit(1)).alias("filas"))
+
+
+_KEY_SQL = "regexp_replace(regexp_replace(lower(regexp_extract(product_url, '^[^/]*//[^/]*')) || regexp_replace(product_url, '^[^/]*//[^/]*', ''), '[?#].*$', ''), '/+$', '')"
+
+
+@query(f"SELECT store, {_KEY_SQL} AS url, max(snapshot_date) AS snapshot_date, count(DISTINCT snapshot_date) AS entregas FROM bronze_snapshot GROUP BY 1, 2")
+def bronze_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "bronze_snapshot").withColumn("url", fn.lookup_url(F.col("product_url"))).select("store", "url", "snapshot_date")
+    n = s.groupBy("store", "url").agg(F.countDistinct("snapshot_date").alias("entregas"))
+    kept = store.upsert(s.filter("snapshot_date < '2026-05-01'"), s.filter("snapshot_date >= '2026-05-01'"), ["store", "url"], "snapshot_date")
+    return kept.join(n, ["store", "url"])
+
+
+@query("SELECT store, count(*) FILTER (fecha_ultima_revision IS DISTINCT FROM '2026-06-28') AS por_revisar, count(*) FILTER (fecha_ultima_revision = '2026-06-28') AS al_dia FROM bronze_product GROUP BY 1")
+def stale_filter(spark: SparkSession, sf: str) -> DataFrame:
+    today = F.lit("2026-06-28")
+    stale = ~F.col("fecha_ultima_revision").eqNullSafe(today)
+    return table(spark, sf, "bronze_product").groupBy("store").agg(F.count_if(stale).alias("por_revisar"), F.count_if(F.col("fecha_ultima_revision") == today).alias("al_dia"))
+
+
+@query("SELECT sku_tienda, id_retailer, id_precio, precio_clp::DOUBLE AS precio FROM precio_retailer QUALIFY row_number() OVER (PARTITION BY sku_tienda, id_retailer ORDER BY id_precio) = 1")
+def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "precio_retailer").groupBy("sku_tienda", "id_retailer").agg(F.min(F.struct("id_precio", F.col("precio_clp").cast("double").alias("precio"))).alias("t"))
+    return p.select("sku_tienda", "id_retailer", "t.*")
+
+
+# --- entity resolution on part: p_type plays the store, p_brand the brand
+def _part_rows(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("store"), fn.normalize_name(F.col("p_name")).alias("name"), fn.normalize_brand(F.col("p_brand")).alias("brand"),
+        F.lit(None).cast("string").alias("unit"), fn.numeric_specs(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.lit("mm"))).alias("specs"),
+        F.array().cast("array<string>").alias("flags"), F.col("p_retailprice").alias("price"),
+    )
+
+
+_TOK_SQL = "list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: len(t) >= 3))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, p_type, p_brand, {_TOK_SQL} AS k FROM part)
+SELECT l.id AS left_id, r.id AS right_id FROM t l JOIN t r ON l.p_brand = r.p_brand AND l.p_type < r.p_type AND list_has_any(l.k, r.k)""")
+def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.candidate_pairs(_part_rows(spark, sf))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, p_type, p_brand, {_TOK_SQL} AS k FROM part)
+SELECT least(l.p_type, r.p_type) || '-' || greatest(l.p_type, r.p_type) AS combo, count(*) AS pares FROM t l JOIN t r ON l.p_brand = r.p_brand AND l.p_type < r.p_type AND list_has_any(l.k, r.k) GROUP BY 1""")
+def pairs_by_store(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _part_rows(spark, sf)
+    s = rows.select("id", "store")
+    d = matching.candidate_pairs(rows).join(s.select(F.col("id").alias("left_id"), F.col("store").alias("a")), "left_id").join(s.select(F.col("id").alias("right_id"), F.col("store").alias("b")), "right_id")
+    return d.groupBy(F.array_join(F.array_sort(F.array("a", "b")), "-").alias("combo")).agg(F.count(F.lit(1)).alias("pares"))
+
+
+def _scored(spark, sf):
+    rows = _part_rows(spark, sf)
+    return rows, matching.scored_pairs(rows, matching.candidate_pairs(rows))
+
+
+@query()
+def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)[1]
+
+
+@query()
+def tier_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)[1].groupBy("tier", (F.col("conflicts") != "").alias("numeric_conflict")).agg(F.count(F.lit(1)).alias("pares"), F.min("score").alias("peor"), F.max("score").alias("mejor"))
+
+
+@query()
+def review_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 500 best pairs for review: the limit is the feature."""
+    return _scored(spark, sf)[1].filter("tier = 'review'").orderBy(F.desc("score"), "left_id", "right_id").limit(500)
+
+
+@query()
+def golden_records(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.golden_records(*_scored(spark, sf))
+
+
+# --- decisions
+_PK = "CASE WHEN coalesce(l, '') <> '' AND coalesce(r, '') <> '' THEN 'row:' || least(l, r) || '|' || greatest(l, r) ELSE 'sku:' || least(ls, rs) || '|' || greatest(ls, rs) END"
+_DEC = f"""(SELECT *, {_PK} AS k FROM (SELECT review_item_id, auto_action, llm_decision, left_product.silver_row_id AS l, right_product.silver_row_id AS r,
+coalesce(left_product.store, '') || ':' || coalesce(left_product.sku_store, '') AS ls, coalesce(right_product.store, '') || ':' || coalesce(right_product.sku_store, '') AS rs FROM gold_review_llm_decisions))"""
+
+
+def _decisions(spark, sf):
+    d = table(spark, sf, "gold_review_llm_decisions")
+    sku = lambda p: F.concat(F.coalesce(f"{p}.store", F.lit("")), F.lit(":"), F.coalesce(f"{p}.sku_store", F.lit("")))
+    return d.withColumn("k", fn.pair_key(F.col("left_product.silver_row_id"), F.col("right_product.silver_row_id"), sku("left_product"), sku("right_product")))
+
+
+@query(f"SELECT k, max(review_item_id) AS review_item_id FROM (SELECT k, review_item_id, auto_action FROM {_DEC} QUALIFY rank() OVER (PARTITION BY k ORDER BY review_item_id DESC, auto_action DESC NULLS LAST) = 1) WHERE auto_action = 'accept' GROUP BY 1")
+def ledger_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return store.replayed_decisions(_decisions(spark, sf), "k", "review_item_id", "auto_action")
+
+
+@query(f"SELECT k, count(*) AS veces FROM {_DEC} WHERE k NOT IN (SELECT k FROM {_DEC} WHERE auto_action = 'accept') GROUP BY 1")
+def review_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    d = _decisions(spark, sf)
+    return d.join(d.filter("auto_action = 'accept'").select("k").distinct(), "k", "left_anti").groupBy("k").agg(F.count(F.lit(1)).alias("veces"))
+
+
+@query("""SELECT CASE WHEN t IN ('MATCH', 'NO_MATCH', 'UNSURE') THEN t WHEN contains(t, 'NO') AND contains(t, 'MATCH') THEN 'NO_MATCH' WHEN contains(t, 'MATCH') THEN 'MATCH' ELSE 'UNSURE' END AS decision,
+coalesce(auto_action, 'none') AS accion, count(*) AS n, count(error) AS errores FROM (SELECT *, upper(trim(coalesce(llm_decision, ''))) AS t FROM gold_review_llm_decisions) GROUP BY 1, 2""")
+def llm_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "gold_review_llm_decisions")
+    return d.groupBy(fn.decision_label(F.col("llm_decision")).alias("decision"), F.coalesce("auto_action", F.lit("none")).alias("accion")).agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errores"))
+
+
+@query(f"""WITH b AS {_BRONZE}, x AS (SELECT DISTINCT left_product.silver_row_id AS rid, left_product.store AS store, left_product.sku_store AS sku FROM gold_review_llm_decisions),
+u AS (SELECT store, sku_store, min(silver_row_id) AS only_id FROM b GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT x.rid, x.store, x.sku, coalesce(b.silver_row_id, u.only_id) AS resolved FROM x LEFT JOIN b ON b.silver_row_id = x.rid LEFT JOIN u ON u.store = x.store AND u.sku_store = x.sku""")
+def row_id_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bronze(spark, sf).select("silver_row_id", "store", "sku_store")
+    x = table(spark, sf, "gold_review_llm_decisions").select(F.col("left_product.silver_row_id").alias("rid"), F.col("left_product.store").alias("store"), F.col("left_product.sku_store").alias("sku")).distinct()
+    only = b.groupBy("store", F.col("sku_store").alias("sku")).agg(F.min("silver_row_id").alias("only_id"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    d = x.join(b.select(F.col("silver_row_id").alias("rid"), F.col("silver_row_id").alias("hit")), "rid", "left").join(only, ["store", "sku"], "left")
+    return d.select("rid", "store", "sku", F.coalesce("hit", "only_id").alias("resolved"))
+
+
+# --- loading
+@query("""SELECT id_unidad, nombre_unidad AS nombre FROM unit_target UNION ALL SELECT (SELECT max(id_unidad) FROM unit_target) + row_number() OVER (ORDER BY u), u
+FROM (SELECT DISTINCT lower(unidad_medida) AS u FROM bronze_product WHERE unidad_medida IS NOT NULL) WHERE u NOT IN (SELECT nombre_unidad FROM unit_target)""")
+def get_or_create_dims(spark: SparkSession, sf: str) -> DataFrame:
+    dim = table(spark, sf, "unit_target").select("id_unidad", F.col("nombre_unidad").alias("nombre"))
+    return store.get_or_create(table(spark, sf, "bronze_product").select(F.lower("unidad_medida").alias("nombre")), dim, "nombre", "id_unidad")
+
+
+@query("""WITH n AS (SELECT id_producto_maestro, id_retailer, max(cantidad) * 1000.0::DOUBLE AS precio FROM detalle_cotizacion GROUP BY 1, 2),
+l AS (SELECT id_producto_maestro, id_retailer, precio_clp::DOUBLE AS ultimo FROM precio_retailer QUALIFY row_number() OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura DESC, id_precio DESC) = 1)
+SELECT n.*, l.ultimo FROM n LEFT JOIN l USING (id_producto_maestro, id_retailer) WHERE ultimo IS NULL OR round_even(ultimo, 0) <> round_even(precio, 0)""")
+def change_only_insert(spark: SparkSession, sf: str) -> DataFrame:
+    new = table(spark, sf, "detalle_cotizacion").groupBy(*PAIR).agg((F.max("cantidad") * 1000.0).alias("precio"))
+    return store.change_only(new, table(spark, sf, "precio_retailer"))
+
+
+@query(f"""WITH u AS (SELECT link_producto AS url, min(id_producto_maestro) AS product FROM precio_retailer GROUP BY 1),
+l AS (SELECT id_producto_maestro AS product, precio_clp::DOUBLE AS lp FROM precio_retailer WHERE precio_clp > 0 QUALIFY row_number() OVER (PARTITION BY id_producto_maestro ORDER BY fecha_captura DESC, id_precio DESC) = 1),
+x AS (SELECT DISTINCT id_precio AS id, CASE WHEN id_precio % 17 = 0 THEN '' WHEN id_precio % 19 = 0 THEN 'otra' ELSE link_producto END AS url, disponibilidad AS a, precio_clp::DOUBLE AS p FROM precio_retailer)
+SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN x.url = '' THEN 'no_url' WHEN u.product IS NULL THEN 'not_in_db' WHEN NOT coalesce(a, true) THEN 'unavailable' WHEN coalesce(p, 0) <= 0 THEN 'no_price'
+WHEN round_even(p, 0) = round_even(lp, 0) THEN 'unchanged' ELSE 'insert' END AS outcome FROM x LEFT JOIN u USING (url) LEFT JOIN l USING (product)) GROUP BY 1""")
+def daily_load(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "precio_retailer")
+    url = F.when(F.col("id_precio") % 17 == 0, "").when(F.col("id_precio") % 19 == 0, "otra").otherwise(F.col("link_producto"))
+    new = p.select(F.col("id_precio").alias("id"), url.alias("url"), F.col("disponibilidad").alias("available"), F.col("precio_clp").cast("double").alias("price"))
+    last = p.filter("precio_clp > 0").groupBy(F.col("id_producto_maestro").alias("product")).agg(F.max_by(F.col("precio_clp").cast("double"), F.struct("fecha_captura", "id_precio")).alias("last_price"))
+    return store.daily_outcomes(new, p.select(F.col("link_producto").alias("url"), F.col("id_producto_maestro").alias("product")), last).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT d.id_detalle, d.id_cotizacion FROM detalle_cotizacion d WHERE d.id_cotizacion NOT IN (SELECT id_cotizacion FROM cotizacion WHERE id_usuario = 1)")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "cotizacion").filter("id_usuario = 1").select("id_cotizacion")
+    return table(spark, sf, "detalle_cotizacion").join(gone, "id_cotizacion", "left_anti").select("id_detalle", "id_cotizacion")
+
+
+@query("SELECT id_unidad, CASE id_unidad WHEN 1 THEN 'kilo' WHEN 99 THEN 'nuevo' ELSE nombre_unidad END AS nombre FROM (SELECT id_unidad, nombre_unidad FROM unit_target UNION ALL SELECT 99, 'nuevo')")
+def seed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "unit_target").select("id_unidad", F.col("nombre_unidad").alias("nombre"), F.lit(0).alias("v"))
+    new = spark.createDataFrame([(1, "kilo", 1), (99, "nuevo", 1)], "id_unidad int, nombre string, v int")
+    return store.upsert(old, new, ["id_unidad"], "v").select("id_unidad", "nombre")
+
+
+@query("SELECT product_url FROM (SELECT DISTINCT product_url FROM bronze_product) WHERE list_has_any(string_split(regexp_replace(lower(product_url), '[^a-z0-9]+', ' ', 'g'), ' '), ['cemento', 'pinturas', 'tubo'])")
+def url_query_match(spark: SparkSession, sf: str) -> DataFrame:
+    queries = spark.createDataFrame([("Cemento",), ("pinturas",), ("tubo",)], "q string")
+    return store.url_matches(table(spark, sf, "bronze_product").select("product_url").distinct(), F.col("product_url"), queries, "q")
+
+
+@query("""SELECT id_producto, array_to_string(list_transform(string_split_regex(trim(lower(nombre_producto)), '\\s+'), lambda w: upper(w[1]) || w[2:]), ' ') AS titulo,
+'$' || replace(printf('%,d', (id_producto * 1237)::BIGINT), ',', '.') AS pesos, printf('%.4f UF', id_producto * 1237 / 38000.0) AS uf FROM producto_maestro""")
+def format_functions(spark: SparkSession, sf: str) -> DataFrame:
+    amount = F.col("id_producto").cast("bigint") * 1237
+    return table(spark, sf, "producto_maestro").select("id_producto", fn.product_title(F.col("nombre_producto")).alias("titulo"), fn.pesos(amount).alias("pesos"), fn.in_uf(amount, F.lit(38000.0)).alias("uf"))
+
+
+@query("SELECT user_id, date_trunc('minute', ts) AS minuto, count(*) AS llamadas FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("llamadas"))
+    return e.filter("llamadas > 1").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("minuto"), "llamadas")
