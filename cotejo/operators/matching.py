@@ -109,6 +109,7 @@ def spec_conflicts(a: Column, b: Column) -> tuple[Column, Column]:
 
 def scored_pairs(rows: DataFrame, pairs: DataFrame, confident: int = CONFIDENT, review: int = REVIEW) -> DataFrame:
     """Signals, final score and tier of every candidate pair."""
+    pairs = cut(pairs, "pairs").df  # both the distinct names and the scores read them
     side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "store", "name", "brand", "unit", "specs", "flags", "price")))
     d = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     d = d.join(name_scores(d, "left_name", "right_name"), ["left_name", "right_name"])
@@ -155,7 +156,7 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
 
 def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
     """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and member list."""
-    sure = scored.filter("tier = 'confident'")
+    sure = cut(scored.filter("tier = 'confident'").select("left_id", "right_id", "score"), "confident").df
     comp = components(sure, "left_id", "right_id")
     m = comp.join(rows, "id")
     base = F.min_by("name", F.struct(F.size("flags").alias("a"), (-F.length("name")).alias("b"), F.col("id").alias("c")))
@@ -169,3 +170,24 @@ def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bround(F.avg("score"), 2).alias("avg_score")
     )
     return per.join(s, "component")
+
+
+def merged_components(entities: DataFrame, entity: str, member: str, accepted: DataFrame, left: str, right: str) -> DataFrame:
+    """Entities after accepted pairs were integrated: ``id``, ``component`` over entity members and accepted links together.
+
+    The final state doesn't depend on the order of the decisions.
+    """
+    own = entities.select(F.col(entity).alias("e"), F.col(member).alias("b")).filter("e is not null and b is not null")
+    edges = own.join(own.groupBy("e").agg(F.min("b").alias("a")), "e").select("a", "b")
+    return components(edges.unionByName(accepted.select(F.col(left).alias("a"), F.col(right).alias("b"))), "a", "b")
+
+
+def preview_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 60, gate: int = 25) -> DataFrame:
+    """Composite preview score of every candidate pair that passes the name gate."""
+    side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "brand")))
+    d = cut(pairs, "pairs").df.join(side("left"), "left_id").join(side("right"), "right_id")
+    d = d.join(name_scores(d, "left_name", "right_name"), ["left_name", "right_name"]).filter(F.col("ts") >= max(45, threshold - gate))
+    none = (F.col("left_brand") == NO_BRAND) | (F.col("right_brand") == NO_BRAND)
+    brand = F.when((F.col("left_brand") == F.col("right_brand")) & ~none, 100).when(none, 50).otherwise(20)
+    score = F.rint((F.col("ts") * 75 + brand * 15 + F.greatest(100 - F.col("lev") * 3, F.lit(0)) * 10) / 100.0).cast("int")
+    return d.select("left_id", "right_id", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= threshold)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.functions import catalog as fn
+from cotejo.functions import pages
 from cotejo.operators import matching, store
+from cotejo.session import shared_dir
 from cotejo.sources.tables import table
+from cotejo.streaming import refresh
 
 REF_TIME = "2026-06-01 00:00:00"
 PAIR = ["id_producto_maestro", "id_retailer"]
@@ -455,3 +459,63 @@ def format_functions(spark: SparkSession, sf: str) -> DataFrame:
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("llamadas"))
     return e.filter("llamadas > 1").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("minuto"), "llamadas")
+
+
+# --- pages, sitemaps, model answers
+@query(f"""SELECT DISTINCT silver_row_id, trim(regexp_replace(name, '[\\s\\x{{00A0}}]+', ' ', 'g')) AS nombre, product_url AS enlace, coalesce(nullif(regexp_extract(sku_store, '^\\s*([0-9]{{3,}})', 1), ''), '') AS sku
+FROM bronze_product WHERE NOT contains(name, '<') AND NOT contains(name, '>')""")
+def html_cards(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "bronze_product").filter(~F.col("name").contains("<") & ~F.col("name").contains(">"))
+    card = F.concat(F.lit('<div class="card"><a href="'), "product_url", F.lit('"><img data-src="'), F.coalesce("image_url", F.lit("")), F.lit('"></a><h3> '), "name", F.lit(" </h3> SKU: "), "sku_store", F.lit("</div>"))
+    d = b.select("silver_row_id", card.alias("c"))
+    return d.select("silver_row_id", pages.first_text(F.col("c"), ["<h1>(.*?)</h1>", "(?s)<h3>(.*?)</h3>"]).alias("nombre"), F.get(pages.links(F.col("c")), F.lit(0)).alias("enlace"), pages.sku_from_text(F.col("c")).alias("sku")).distinct()
+
+
+@query("SELECT DISTINCT store, product_url AS loc FROM bronze_product")
+def sitemap_locations(spark: SparkSession, sf: str) -> DataFrame:
+    one = F.concat(F.lit("<s:url><s:loc> "), F.col("product_url"), F.lit(" </s:loc></s:url>"))
+    b = table(spark, sf, "bronze_product").select("store", one.alias("x"))
+    return b.select("store", F.explode(pages.sitemap_locations(F.col("x"))).alias("loc")).distinct()
+
+
+@query("""SELECT store, count(*) FILTER (NOT b) AS permitidas, count(*) FILTER (b) AS bloqueadas FROM (SELECT store, regexp_matches(lower(product_url), '[?&](sort|shop|page|utm_source|utm_medium|utm_campaign|utm_term|utm_content|utm_id|gclid|gclsrc|gbraid|wbraid|gad_source|gad_campaignid|fbclid|fbadid|srsltid|ref|idsku|skuid)=')
+OR contains(product_url, '/filter/') AS b FROM bronze_snapshot) GROUP BY 1""")
+def url_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    ok = pages.crawlable(F.col("product_url"))
+    return table(spark, sf, "bronze_snapshot").groupBy("store").agg(F.count_if(ok).alias("permitidas"), F.count_if(~ok).alias("bloqueadas"))
+
+
+@query("""SELECT review_item_id, coalesce(llm_decision, 'nada') AS decision, llm_confidence AS confianza, count(*) AS n FROM gold_review_llm_decisions GROUP BY 1, 2, 3""")
+def json_from_noise(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "gold_review_llm_decisions")
+    answer = F.concat(F.lit("Claro:\n"), F.to_json(F.struct(F.coalesce("llm_decision", F.lit("nada")).alias("decision"), F.col("llm_confidence").alias("confianza"))), F.lit("\nListo."))
+    d = d.select("review_item_id", F.from_json(pages.json_from_noise(answer), "decision string, confianza int").alias("j"))
+    return d.groupBy("review_item_id", "j.decision", "j.confianza").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def preview_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _part_rows(spark, sf)
+    return matching.preview_pairs(rows, matching.candidate_pairs(rows))
+
+
+@query("""WITH RECURSIVE e0 AS (SELECT store_variants[1].silver_row_id AS a, unnest(store_variants).silver_row_id AS b FROM gold_products
+  UNION ALL SELECT left_product.silver_row_id, right_product.silver_row_id FROM gold_review_llm_decisions WHERE auto_action = 'accept'),
+e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b), r AS (SELECT DISTINCT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT v AS id, min(u) AS component FROM r GROUP BY v""")
+def integrate_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "gold_products").select("gold_product_id", F.explode("store_variants.silver_row_id").alias("m"))
+    d = table(spark, sf, "gold_review_llm_decisions").filter("auto_action = 'accept'").select(F.col("left_product.silver_row_id").alias("l"), F.col("right_product.silver_row_id").alias("r"))
+    return matching.merged_components(v, "gold_product_id", "m", d, "l", "r")
+
+
+@query("""WITH s AS (SELECT id_producto_maestro, id_retailer, fecha_captura, id_precio, round_even(precio_clp::DOUBLE, 0) AS precio FROM precio_retailer WHERE precio_clp > 0)
+SELECT id_producto_maestro, id_retailer, id_precio, precio FROM (SELECT *, lag(precio) OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura, id_precio) AS b FROM s) WHERE b IS NULL OR b <> precio""")
+def stream_price_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming job run to its end over the table's files."""
+    schema = table(spark, sf, "precio_retailer").schema
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    source = f"{out}/source"
+    table(spark, sf, "precio_retailer").write.parquet(source)
+    refresh.run_changes(refresh.price_stream(spark, source, schema).select(*schema.names), out, f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/changes").select(*PAIR, "id_precio", "precio")
