@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.functions import units as u
 from cotejo.operators.asof import attributes_at
 from cotejo.operators.history import change_history, standing
 from cotejo.operators.snapshots import canonical_product_url, snapshot_changes
@@ -118,3 +119,34 @@ x AS (
   ON a.store = b.store AND a.snapshot_date = b.snapshot_date AND a.k = b.k)
 SELECT * FROM x WHERE cambio IS NOT NULL""",
 }
+
+_FOLD = "trim(regexp_replace(translate(strip_accents(lower(regexp_replace(replace(replace({0}, '&quot;', '\"'), '&amp;', '&'), '&([a-zA-Z])(acute|tilde);', '\\1', 'g'))), '²³', '23'), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+_MAP = ", ".join(f"('{name}', '{common}', {factor:f})" for name, (common, factor) in u.NAMES.items())
+_SMALL = ", ".join(f"'{x}'" for x in u.SMALL)
+
+
+def _number_sql(text: str, stem: str) -> str:
+    top = f"regexp_extract({text}, '^([\\d.,]+)', 1)"
+    below = f"regexp_extract({text}, '/\\s*(\\d+)\\s*$', 1)"
+    plain = f"CASE WHEN {stem} IN ({_SMALL}) AND regexp_full_match({top}, '[1-9]\\d{{0,2}}(?:\\.\\d{{3}})+') THEN replace({top}, '.', '') ELSE replace({top}, ',', '.') END"
+    return f"TRY_CAST({plain} AS DOUBLE) / CASE WHEN {below} = '' THEN 1 ELSE nullif(TRY_CAST({below} AS DOUBLE), 0) END"
+
+
+def _stated_sql(common: str) -> tuple[str, str]:
+    rx = f"(?:^|[^\\d.,/a-z])({u.NUMBER})\\s*({u._GROUPS[common]})(?:[^a-z0-9]|$)"
+    return f"regexp_extract(n, '{rx}', 1)", f"regexp_extract(n, '{rx}', 2)"
+
+
+_KG, _LT = _stated_sql("kg"), _stated_sql("lt")
+SQL["p6_found"] = f"""WITH f(stem, comun, factor) AS (VALUES {_MAP}),
+b AS (SELECT silver_row_id, precio_unitario AS p, CASE WHEN unidad_medida IS NULL THEN regexp_extract({_FOLD.format('name')}, '{u.PRICE_PER}', 1) ELSE {_FOLD.format('unidad_medida')} END AS t FROM bronze_product WHERE precio_unitario > 0),
+r AS (SELECT *, regexp_extract(t, '{u.PHRASE}', 1) AS pk, regexp_extract(t, '{u.PHRASE}', 2) AS num, regexp_extract(t, '{u.PHRASE}', 3) AS st, regexp_extract(t, '^({u.STEM})\\s*\\.?$', 1) AS whole FROM b),
+g AS (SELECT silver_row_id, p, CASE WHEN whole IN (SELECT stem FROM f) THEN whole WHEN pk = '' OR num <> '' THEN st END AS stem,
+  CASE WHEN whole IN (SELECT stem FROM f) OR num = '' THEN 1 ELSE {_number_sql('num', 'st')} END AS q FROM r),
+d AS (SELECT silver_row_id, comun, p, round(q * factor * 1000000000000)::HUGEINT AS d FROM g JOIN f USING (stem)),
+m AS (SELECT id_producto, valor_medida, nombre_unidad, {_FOLD.format('nombre_producto')} AS n FROM producto_maestro LEFT JOIN unit_target USING (id_unidad)),
+k AS (SELECT id_producto, valor_medida, uf.comun AS uc, uf.factor AS ufac, kf.comun AS kc, {_number_sql(_KG[0], _KG[1])} * kf.factor AS kv, lf.comun AS lc, {_number_sql(_LT[0], _LT[1])} * lf.factor AS lv
+  FROM m LEFT JOIN f uf ON uf.stem = lower(strip_accents(nombre_unidad)) LEFT JOIN f kf ON kf.stem = {_KG[1]} LEFT JOIN f lf ON lf.stem = {_LT[1]})
+SELECT DISTINCT 'bronze_product' AS tabla, silver_row_id AS clave, comun AS unidad_comun, ((2 * p::HUGEINT * 1000000000000 + d) // (2 * d))::BIGINT AS valor FROM d WHERE d > 0
+UNION ALL SELECT 'producto_maestro', id_producto::VARCHAR, CASE WHEN valor_medida IS NOT NULL AND uc IS NOT NULL THEN uc ELSE coalesce(kc, lc) END,
+  floor(round(CASE WHEN valor_medida IS NOT NULL AND uc IS NOT NULL THEN valor_medida * ufac ELSE coalesce(kv, lv) END::DOUBLE * 1000000, 4) + 0.5)::BIGINT FROM k WHERE (valor_medida IS NOT NULL AND uc IS NOT NULL) OR kv IS NOT NULL OR lv IS NOT NULL"""
