@@ -40,13 +40,14 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     Each round is written to the shared folder, so a lost executor costs one round.
     """
     e = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v is not null and u is not null and v <> u")
-    both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    now: Cut = cut(both.unionByName(both.select("v", F.col("v").alias("u"))).distinct(), "clusters")
+    # both directions and both loops in one pass, so that the edges are computed once
+    four = F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("v").alias("u")), F.struct(F.col("u").alias("v"), "u"))
+    now: Cut = cut(e.select(F.inline(four)).distinct(), "clusters")
     mark = _mark(now.df)
     for _ in range(max_rounds):
         low = now.df.groupBy("v").agg(F.min("u").alias("m"))
-        sent = now.df.join(low, "v")
-        nxt = cut(sent.select(F.col("m").alias("v"), "u").unionByName(sent.select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct(), "clusters")
+        sent = F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        nxt = cut(now.df.join(low, "v").select(F.inline(sent)).distinct(), "clusters")
         new = _mark(nxt.df)
         now.drop()
         now = nxt
