@@ -3,10 +3,12 @@
 import base64
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm.listings import all_pairs, batch_cosines, same_item_groups, vocabulary
+from cotejo.llm.listings import GRAMS, all_pairs, batch_cosines, same_item_groups, vocabulary
 from cotejo.llm.mail import own_text
 from cotejo.llm.parse import brand_key, parse_listing
 from cotejo.llm.reading import reading_levels
@@ -123,9 +125,5 @@ def test_spelling_repair_and_cosine(spark):
     words = ["percutor"] * 9 + ["percuotr", "percutorr", "percuto", "martillo", "martillos"]
     v = {r["word"]: r["fixed"] for r in vocabulary(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
     assert v["percuotr"] == v["percutorr"] == v["percuto"] == "percutor" and v["martillos"] == "martillos"
-    import pyarrow as pa
-
-    kind = pa.list_(pa.struct([("g", pa.int32()), ("w", pa.float32())]))
-    x = pa.array([[{"g": 1, "w": 1.0}, {"g": 1, "w": 1.0}], [{"g": 1, "w": 1.0}], [], None], kind)
-    y = pa.array([[{"g": 1, "w": 1.0}, {"g": -5, "w": 1.0}], [{"g": 2, "w": 1.0}], [], None], kind)
-    assert batch_cosines(x, y).round(3).tolist() == [0.707, 0.0, 0.0, 0.0]
+    x, y = pa.array([["abc", "abc"], ["abc"], [], None], pa.list_(pa.string())), pa.array([["abc", "xyz"], ["xyz"], [], None], pa.list_(pa.string()))
+    assert batch_cosines(x, y, np.ones(GRAMS), {}).round(3).tolist() == [0.707, 0.0, 0.0, 0.0]
