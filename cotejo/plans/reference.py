@@ -519,3 +519,63 @@ def stream_price_changes(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "precio_retailer").write.parquet(source)
     refresh.run_changes(refresh.price_stream(spark, source, schema).select(*schema.names), out, f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/changes").select(*PAIR, "id_precio", "precio")
+
+
+@query("""WITH h AS (SELECT store, product_url, 'https://x.example/tienda/lista/cat10/' || store || '-Ofertas' AS hint FROM bronze_product WHERE store IN ('ferralto', 'maderix')),
+c AS (SELECT DISTINCT b.store, b.product_url, CASE WHEN h.store IS NOT NULL THEN h.store || ' ofertas' END AS hinted,
+  CASE WHEN p LIKE '%/articulo/%' THEN '' ELSE coalesce(replace(list_filter(string_split(p, '/'), lambda x: x <> '')[1], '-', ' '), '') END AS own
+  FROM (SELECT DISTINCT store, product_url, regexp_extract(product_url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM bronze_product) b LEFT JOIN (SELECT DISTINCT * FROM h) h USING (store, product_url))
+SELECT store, product_url, coalesce(hinted, nullif(own, ''), '') AS categoria, CASE WHEN hinted IS NOT NULL THEN 'sidecar' WHEN own <> '' THEN 'product_url' ELSE 'empty' END AS fuente FROM c""")
+def category_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "bronze_product").select("store", "product_url").distinct()
+    hints = b.filter(F.col("store").isin("ferralto", "maderix")).withColumn("hint", F.concat(F.lit("https://x.example/tienda/lista/cat10/"), "store", F.lit("-Ofertas")))
+    d = b.join(hints, ["store", "product_url"], "left")
+    hinted, own = F.nullif(fn.category_from_url(F.col("hint")), F.lit("")), F.nullif(fn.category_from_url(F.col("product_url")), F.lit(""))
+    source = F.when(hinted.isNotNull(), "sidecar").when(own.isNotNull(), "product_url").otherwise("empty")
+    return d.select("store", "product_url", F.coalesce(hinted, own, F.lit("")).alias("categoria"), source.alias("fuente"))
+
+
+@query("""SELECT review_item_id, llm_confidence AS confianza, least(greatest(gold_score, 0), 100) AS puntaje FROM (
+SELECT review_item_id, max(llm_confidence) AS llm_confidence, max(gold_confidence_score) AS gold_score FROM gold_review_llm_decisions GROUP BY 1)
+WHERE least(greatest(gold_score, 0), 100) >= 80 ORDER BY puntaje DESC, review_item_id LIMIT 200 OFFSET 50""")
+def review_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """Items 51 to 250 of the eligible ones: the slice is the feature."""
+    d = table(spark, sf, "gold_review_llm_decisions").groupBy("review_item_id").agg(F.max("llm_confidence").alias("confianza"), F.max("gold_confidence_score").alias("g"))
+    score = F.least(F.greatest("g", F.lit(0)), F.lit(100))
+    return d.filter(score >= 80).select("review_item_id", "confianza", score.alias("puntaje")).orderBy(F.desc("puntaje"), "review_item_id").offset(50).limit(200)
+
+
+@query("""SELECT id_cotizacion, string_agg(id_producto_maestro || ':' || id_retailer || ':' || cantidad, ',' ORDER BY id_producto_maestro, id_retailer, cantidad) AS contenido FROM detalle_cotizacion GROUP BY 1""")
+def quote_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Stable text of a quote's lines, for change detection."""
+    line = F.array_sort(F.collect_list(F.struct("id_producto_maestro", "id_retailer", "cantidad")))
+    text = F.array_join(F.transform(line, lambda x: F.concat_ws(":", x["id_producto_maestro"].cast("string"), x["id_retailer"].cast("string"), x["cantidad"].cast("string"))), ",")
+    return table(spark, sf, "detalle_cotizacion").groupBy("id_cotizacion").agg(text.alias("contenido"))
+
+
+@query("""SELECT id_cotizacion, id_usuario, CASE WHEN fecha_creacion IS NULL THEN 'sin fecha' WHEN row_number() OVER (PARTITION BY id_usuario ORDER BY fecha_creacion DESC NULLS LAST, id_cotizacion DESC) = 1 THEN 'ultima' ELSE 'anterior' END AS orden,
+coalesce(nullif(trim(nombre_proyecto), ''), 'Sin nombre') AS nombre, upper(coalesce(nullif(trim(estado), ''), 'Borrador')) AS estado FROM cotizacion""")
+def quote_list(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "cotizacion")
+    newest = q.groupBy("id_usuario").agg(F.max(F.struct("fecha_creacion", "id_cotizacion")).alias("t")).select("id_usuario", F.col("t.id_cotizacion").alias("u"))
+    order = F.when(F.col("fecha_creacion").isNull(), "sin fecha").when(F.col("u") == F.col("id_cotizacion"), "ultima").otherwise("anterior")
+    text = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d))
+    return q.join(newest, "id_usuario", "left").select("id_cotizacion", "id_usuario", order.alias("orden"), text("nombre_proyecto", "Sin nombre").alias("nombre"), F.upper(text("estado", "Borrador")).alias("estado"))
+
+
+@query(f"""WITH r AS (SELECT 38000.0::DOUBLE AS uf), o AS {_OFFERS} SELECT id_producto_maestro, id_retailer, round(precio / uf, 4) AS uf FROM o, r""")
+def prices_in_uf(spark: SparkSession, sf: str) -> DataFrame:
+    rate = spark.createDataFrame([(None,)], "rate double").select(F.coalesce("rate", F.lit(38000.0)).alias("uf"))  # one row: the fallback rate
+    return _offers(spark, sf).crossJoin(rate).select(*PAIR, F.round(F.col("precio") / F.col("uf"), 4).alias("uf"))
+
+
+@query("""SELECT store_a || '-' || store_b AS par, count(*) AS productos FROM (SELECT DISTINCT a.id_producto_maestro, least(ra.nombre_retailer, rb.nombre_retailer) AS store_a, greatest(ra.nombre_retailer, rb.nombre_retailer) AS store_b
+FROM (SELECT DISTINCT id_producto_maestro, id_retailer FROM precio_retailer) a JOIN (SELECT DISTINCT id_producto_maestro, id_retailer FROM precio_retailer) b ON a.id_producto_maestro = b.id_producto_maestro AND a.id_retailer < b.id_retailer
+JOIN store_rank ra ON ra.id_retailer = a.id_retailer JOIN store_rank rb ON rb.id_retailer = b.id_retailer) GROUP BY 1""")
+def shared_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products that two retailers share: retailers of a product are a handful, whatever its captures."""
+    p = table(spark, sf, "precio_retailer").select(*PAIR).distinct().join(table(spark, sf, "store_rank").select("id_retailer", "nombre_retailer"), "id_retailer")
+    a, b = p.alias("a"), p.alias("b")
+    d = a.join(b, (F.col("a.id_producto_maestro") == F.col("b.id_producto_maestro")) & (F.col("a.id_retailer") < F.col("b.id_retailer")))
+    pair = F.concat(F.least("a.nombre_retailer", "b.nombre_retailer"), F.lit("-"), F.greatest("a.nombre_retailer", "b.nombre_retailer"))
+    return d.groupBy(pair.alias("par")).agg(F.countDistinct("a.id_producto_maestro").alias("productos"))
