@@ -563,10 +563,10 @@ def quote_list(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(newest, "id_usuario", "left").select("id_cotizacion", "id_usuario", order.alias("orden"), text("nombre_proyecto", "Sin nombre").alias("nombre"), F.upper(text("estado", "Borrador")).alias("estado"))
 
 
-@query(f"""WITH r AS (SELECT 38000.0::DOUBLE AS uf), o AS {_OFFERS} SELECT id_producto_maestro, id_retailer, round(precio / uf, 4) AS uf FROM o, r""")
+@query(f"""WITH r AS (SELECT 38000.0::DOUBLE AS uf), o AS {_OFFERS} SELECT id_producto_maestro, id_retailer, floor(precio / uf * 10000 + 0.5) / 10000.0::DOUBLE AS uf FROM o, r""")
 def prices_in_uf(spark: SparkSession, sf: str) -> DataFrame:
     rate = spark.createDataFrame([(None,)], "rate double").select(F.coalesce("rate", F.lit(38000.0)).alias("uf"))  # one row: the fallback rate
-    return _offers(spark, sf).crossJoin(rate).select(*PAIR, F.round(F.col("precio") / F.col("uf"), 4).alias("uf"))
+    return _offers(spark, sf).crossJoin(rate).select(*PAIR, (F.floor(F.col("precio") / F.col("uf") * 10000 + 0.5) / F.lit(10000.0)).alias("uf"))
 
 
 @query("""SELECT store_a || '-' || store_b AS par, count(*) AS productos FROM (SELECT DISTINCT a.id_producto_maestro, least(ra.nombre_retailer, rb.nombre_retailer) AS store_a, greatest(ra.nombre_retailer, rb.nombre_retailer) AS store_b
