@@ -463,9 +463,9 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- pages, sitemaps, model answers
 @query(f"""SELECT DISTINCT silver_row_id, trim(regexp_replace(name, '[\\s\\x{{00A0}}]+', ' ', 'g')) AS nombre, product_url AS enlace, coalesce(nullif(regexp_extract(sku_store, '^\\s*([0-9]{{3,}})', 1), ''), '') AS sku
-FROM bronze_product WHERE NOT contains(name, '<') AND NOT contains(name, '>')""")
+FROM bronze_product""")
 def html_cards(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "bronze_product").filter(~F.col("name").contains("<") & ~F.col("name").contains(">"))
+    b = table(spark, sf, "bronze_product")
     card = F.concat(F.lit('<div class="card"><a href="'), "product_url", F.lit('"><img data-src="'), F.coalesce("image_url", F.lit("")), F.lit('"></a><h3> '), "name", F.lit(" </h3> SKU: "), "sku_store", F.lit("</div>"))
     d = b.select("silver_row_id", card.alias("c"))
     return d.select("silver_row_id", pages.first_text(F.col("c"), ["<h1>(.*?)</h1>", "(?s)<h3>(.*?)</h3>"]).alias("nombre"), F.get(pages.links(F.col("c")), F.lit(0)).alias("enlace"), pages.sku_from_text(F.col("c")).alias("sku")).distinct()
