@@ -11,10 +11,11 @@ from cotejo.functions.text import fold, let
 
 # fixed values: conversions into the common unit of each magnitude
 INCH, FOOT, POUND, GALLON = Decimal("0.0254"), Decimal("0.3048"), Decimal("0.45359237"), Decimal("3.785411784")
+YARD, OUNCE, FLUID_OUNCE = 3 * FOOT, POUND / 16, GALLON / 128
 CONVERSIONS: dict[str, list[Decimal]] = {
-    "kg": [Decimal(1), Decimal("0.001"), Decimal(1000), POUND],
-    "lt": [Decimal(1), Decimal("0.001"), Decimal(1000), GALLON],
-    "m": [Decimal(1), Decimal("0.01"), Decimal("0.001"), INCH, FOOT],
+    "kg": [Decimal(1), Decimal("0.001"), Decimal(1000), POUND, OUNCE],
+    "lt": [Decimal(1), Decimal("0.001"), Decimal(1000), GALLON, FLUID_OUNCE],
+    "m": [Decimal(1), Decimal("0.01"), Decimal("0.001"), INCH, FOOT, YARD],
     "un": [Decimal(1), Decimal(2), Decimal(12), Decimal(100), Decimal(1000)],
     "m2": [Decimal(1), Decimal("0.0001"), FOOT * FOOT],
 }

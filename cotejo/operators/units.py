@@ -3,10 +3,12 @@
 Every way of writing a unit is a *source*.  Where one entity has a value in a
 source and a value in a reference source (its price over its stated contents,
 or the contents themselves), the two are linked.  Scale and offset of each
-linked pair of sources are estimated robustly (medians over all links), snapped
-to a known conversion and propagated over the graph of sources from the common
-units.  Finally the written name of a unit, if it is a known one, is checked
-against the estimate; the exact conversion wins.
+linked pair of sources are estimated robustly (medians over all links), freed of the
+bias that known spellings show, and propagated over the graph of sources from
+the common units, each step being snapped to a known conversion.  Finally the
+written name of a unit checks the estimate: a known one must have its exact
+conversion, a package word is no unit.  A spelling that nobody listed stands by
+its links alone.
 """
 
 from __future__ import annotations
@@ -22,6 +24,14 @@ from cotejo.session import cut
 #: links that an estimate needs, and how far from a known conversion it may lie (in log units)
 MIN_LINKS = 5
 TOLERANCE = 0.12
+#: share of a source's links that must lie in the magnitude it is given (words that name no unit spread over several), and the spread allowed
+SHARE = 2 / 3
+SPREAD = 0.15
+# fixed values: words that a unit field holds though they name no unit (a package without stated contents)
+NO_UNITS = (
+    "otro", "otros", "servicio", "pallet", "palet", "bulto", "caja", "juego", "set", "kit", "pack", "paquete", "saco", "bolsa", "balde", "tineta", "tambor", "bidon", "rollo",
+    "tira", "plancha", "lata", "tarro", "display", "blister", "estuche", "envase",
+)
 
 
 def pair_scales(links: DataFrame, accuracy: int = 1000) -> DataFrame:
@@ -44,19 +54,24 @@ def pair_scales(links: DataFrame, accuracy: int = 1000) -> DataFrame:
     return mid.join(dev, ["source", "target"]).select("source", "target", F.exp("_m").alias("scale"), "offset", "spread", "n")
 
 
-def snap(scale: Column, target: Column, tolerance: float = TOLERANCE) -> Column:
-    """The known conversion nearest to ``scale`` (in log distance) for a common unit; null beyond the tolerance."""
-    best = F.lit(None).cast("struct<d:double,f:decimal(24,12)>")
+def snap(scale: Column, target: Column, tolerance: float = TOLERANCE, error: Column | float = 0.0) -> Column:
+    """The known conversion nearest to ``scale`` (in log distance) for a common unit; null beyond the tolerance.
+
+    Null too if the next conversion is hardly farther: by no more than twice the ``error`` of log scale.
+    """
+    best = F.lit(None).cast("array<struct<d:double,f:decimal(24,12)>>")
     for common, factors in CONVERSIONS.items():
         options = [F.struct(F.abs(F.log(scale) - F.lit(math.log(f))).alias("d"), F.lit(str(f)).cast("decimal(24,12)").alias("f")) for f in factors]
-        best = F.when(target == common, F.array_min(F.array(*options))).otherwise(best)
-    return F.when(best["d"] <= tolerance, best["f"])
+        best = F.when(target == common, F.array_sort(F.array(*options))).otherwise(best)
+    first, second = F.get(best, F.lit(0)), F.get(best, F.lit(1))
+    clear = second.isNull() | (second["d"] - first["d"] > 2 * (F.lit(error) if isinstance(error, float) else error))
+    return F.when((first["d"] <= tolerance) & clear, first["f"])
 
 
-def propagate(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Factors of all sources that reach a common unit over snapped edges.
+def propagate(edges: DataFrame, tolerance: float = TOLERANCE, rounds: int = 4) -> DataFrame:
+    """Factors of all sources that reach a common unit over steps that a known conversion explains.
 
-    edges: ``source``, ``target``, ``factor`` (1 source = factor target),
+    edges: ``source``, ``target``, ``scale`` (1 source = scale target),
     ``spread``, ``n``.  Result: ``source``, ``common``, ``est_factor``.  The
     graph has one node for each spelling of a unit, so its size doesn't follow
     the rows; paths of up to ``rounds`` edges are followed, the tightest first.
@@ -67,12 +82,15 @@ def propagate(edges: DataFrame, rounds: int = 4) -> DataFrame:
         "source", F.col("source").alias("common"), F.lit(1).cast("decimal(24,12)").alias("est_factor"), F.lit(0.0).alias("spread")
     )
     best = Window.partitionBy("source").orderBy("spread", F.desc("n"), "common")
+    # standard error of a median: 1.253 sigma / sqrt(n), where sigma is 1.4826 of the median deviation
+    error = 1.858 * F.col("e.spread") / F.sqrt("e.n")
     for _ in range(rounds):
         reach = edges.alias("e").join(known.alias("k"), F.col("e.target") == F.col("k.source")).select(
-            F.col("e.source").alias("source"), F.col("k.common").alias("common"), (F.col("e.factor") * F.col("k.est_factor")).cast("decimal(24,12)").alias("est_factor"),
+            F.col("e.source").alias("source"), F.col("k.common").alias("common"),
+            snap(F.col("e.scale") * F.col("k.est_factor").cast("double"), F.col("k.common"), tolerance, error).alias("est_factor"),
             (F.col("e.spread") + F.col("k.spread")).alias("spread"), F.col("e.n").alias("n"),
-        )
-        reach = reach.join(known.select("source"), "source", "left_anti")
+        )
+        reach = reach.filter("est_factor is not null").join(known.select("source"), "source", "left_anti")
         fresh = cut(reach.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "n"), "reach").df
         if fresh.isEmpty():
             break
@@ -88,7 +106,8 @@ def unit_sources(listings: DataFrame) -> DataFrame:
 
 def price_links(priced: DataFrame) -> DataFrame:
     """Links between unit spellings and common units within each listing: its unit price against price over stated contents."""
-    price = F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in ("precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta"))).cast("double")
+    # shops state the unit price of the full price, not of the offer
+    price = F.coalesce(*(F.when(F.col(c) > 0, F.col(c)) for c in ("precio_normal", "precio_internet", "precio_oferta", "precio_tarjeta"))).cast("double")
     d = priced.filter(F.col("_stem").isNotNull() & (F.col("_quantity") > 0)).select(
         "_stem", price.alias("p"), (F.col("precio_unitario") / F.col("_quantity").cast("double")).alias("y"), F.explode(stated(F.col("name"))).alias("r")
     )
@@ -102,27 +121,38 @@ def measure_links(products: DataFrame, units: DataFrame) -> DataFrame:
     return d.select(F.lower("nombre_unidad").alias("source"), F.col("r.common").alias("target"), "x", F.col("r.amount").cast("double").alias("y"))
 
 
+def known_bias(links: DataFrame, min_links: int = MIN_LINKS) -> DataFrame:
+    """``target``, ``bias``: median log error of the links of known spellings, by common unit (one row for each)."""
+    ok = links.filter("x > 0 and y > 0").filter(F.element_at(unit_map(0), F.col("source")) == F.col("target"))
+    error = F.log(F.col("y") / F.col("x") / F.element_at(unit_map(1), F.col("source")).cast("double"))
+    return ok.groupBy("target").agg(F.percentile_approx(error, 0.5, 1000).alias("bias"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_links).drop("n")
+
+
 def source_factors(links: DataFrame, min_links: int = MIN_LINKS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Estimated, snapped and propagated factors: ``source``, ``common``, ``est_factor``."""
-    scales = pair_scales(cut(links, "links").df).filter(F.col("n") >= min_links)
-    edges = scales.withColumn("factor", snap(F.col("scale"), F.col("target"), tolerance)).filter("factor is not null and spread < 0.15")
-    edges = edges.select("source", "target", "factor", "spread", "n").filter(~F.col("source").isin(*CONVERSIONS))
-    return propagate(cut(edges, "edges").df)
+    """Estimated, propagated and snapped factors: ``source``, ``common``, ``est_factor``."""
+    written = cut(links, "links").df
+    scales = cut(pair_scales(written), "scales").df.join(known_bias(written, min_links), "target", "left")
+    total = F.sum("n").over(Window.partitionBy("source"))
+    edges = scales.withColumn("_all", total).filter((F.col("n") >= min_links) & (F.col("n") >= SHARE * F.col("_all")) & (F.col("spread") < SPREAD))
+    edges = edges.select("source", "target", (F.col("scale") / F.exp(F.coalesce("bias", F.lit(0.0)))).alias("scale"), "spread", "n")
+    return propagate(cut(edges.filter(~F.col("source").isin(*CONVERSIONS)), "edges").df, tolerance)
 
 
 def resolve(rows: DataFrame, source: str, factors: DataFrame) -> DataFrame:
-    """Add ``unidad_comun`` and ``_factor``: the source's estimate after the exact check of its name.
+    """Add ``unidad_comun`` and ``_factor``: the source's estimate after the check of its name.
 
-    A spelling that names no unit can't be told, however steady its estimate is
-    (a pallet of cement looks like a kilogram); where estimate and name differ,
-    or nothing could be estimated, the name's exact conversion stands.
+    The name can only correct or veto.  A known unit whose estimate is missing
+    or another has its exact conversion; a package word is no unit, however
+    steady its estimate (a pallet of cement looks like a kilogram).
     """
     d = rows.join(factors.withColumnRenamed("source", source), source, "left")
     common, exact = F.element_at(unit_map(0), F.col(source)), F.element_at(unit_map(1), F.col(source))
-    agrees = (F.col("common") == common) & (F.col("est_factor") == exact)
+    corrected = common.isNotNull() & ~(F.col("common").eqNullSafe(common) & F.col("est_factor").eqNullSafe(exact))
+    area = F.col(source).rlike(r"(?:2|cuadrados?)$") & (F.col("common") != "m2")  # the contents read from names hold no areas
+    vetoed = F.coalesce(F.col(source).isin(*NO_UNITS) | area, F.lit(False))
     return (
-        d.withColumn("unidad_comun", F.when(agrees, F.col("common")).otherwise(common))
-        .withColumn("_factor", F.when(agrees, F.col("est_factor")).otherwise(exact))
+        d.withColumn("unidad_comun", F.when(corrected, common).when(~vetoed, F.col("common")))
+        .withColumn("_factor", F.when(corrected, exact).when(~vetoed, F.col("est_factor")))
         .drop("common", "est_factor")
     )
 

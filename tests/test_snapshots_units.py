@@ -105,3 +105,41 @@ def test_prices_and_measures(spark):
     prods = [(1, "x", 1, Decimal("2.50")), (2, "Latex 1/4 gal", None, Decimal("3")), (3, "Cemento 30.000 g", 1, None), (4, "Llave", None, None), (5, "x", 15, Decimal("10.00")), (6, None, None, None)]
     d = spark.createDataFrame(prods, "id_producto int, nombre_producto string, id_unidad int, valor_medida decimal(10,2)")
     assert {tuple(r) for r in harmonise_measures(d, units).collect()} == {(1, "kg", 2500000), (2, "lt", 946353), (3, "kg", 30000000), (5, "m", 3048000)}
+
+
+def test_spellings_outside_the_dictionary_are_resolved_by_links(spark):
+    rnd = random.Random(3)
+    rows, want = [], set()
+
+    def offers(unit, per, text, n, wanted=None):
+        for _ in range(n):
+            amount, unit_price = rnd.choice([2, 4, 5, 10, 25]), rnd.randint(4000, 9000)
+            price = round(unit_price / per * amount * rnd.uniform(0.94, 1.06))
+            ident = f"{unit}{len(rows)}"
+            rows.append((ident, f"Articulo {amount} {text}", price, round(price * 0.8), None, None, unit_price, unit, "x"))
+            if wanted:
+                want.add((ident, wanted, int(Decimal(unit_price) / Decimal(str(per)) + Decimal("0.5"))))
+
+    offers("kgr", 1, "kg", 30, "kg")
+    offers("onza", 0.028349523125, "kg", 30, "kg")
+    offers("yarda", 0.9144, "m", 60, "m")
+    offers("mtr", 1, "m", 60, "m")
+    offers("kg", 1, "kg", 40, "kg")
+    offers("pallet", 1, "kg", 40)  # steady, but the name vetoes it
+    offers("cosa", 1, "kg", 20)  # as steady in every magnitude: no unit
+    offers("cosa", 1, "m", 20)
+    offers("cosa", 1, "lt", 20)
+    offers("ktr", 1, "kg", 3)  # too few links
+    got = {(r["silver_row_id"], r["unidad_comun"], r["valor"]) for r in harmonise_prices(spark.createDataFrame(rows, LISTING)).collect()}
+    assert got == want
+    units = spark.createDataFrame([(1, "Yarda"), (2, "caja")], "id_unidad int, nombre_unidad string")
+    prods = [(i, f"Cable {i} m", u, Decimal(round(i / 0.9144, 2) if u == 1 else i)) for i in range(20, 30) for u in (1, 2)]
+    d = spark.createDataFrame([(100 * p[2] + p[0], *p[1:]) for p in prods], "id_producto int, nombre_producto string, id_unidad int, valor_medida decimal(10,2)")
+    got = {r["id_producto"]: (r["unidad_comun"], r["valor"]) for r in harmonise_measures(d, units).collect()}
+    assert set(got) == {100 + i for i in range(20, 30)} and all(c == "m" and abs(v / 1e6 - (k - 100)) < 0.01 for k, (c, v) in got.items())
+
+
+def test_factors_reach_over_other_spellings(spark):
+    links = [("libra", "kg", float(x), 0.45359237 * x) for x in range(1, 20)] + [("lbr", "libra", float(x), 1.0 * x) for x in range(1, 20)]
+    got = {r["source"]: r["est_factor"] for r in source_factors(spark.createDataFrame(links, "source string, target string, x double, y double")).collect()}
+    assert got["lbr"] == Decimal("0.45359237")
