@@ -127,3 +127,19 @@ def test_spelling_repair_and_cosine(spark):
     assert v["percuotr"] == v["percutorr"] == v["percuto"] == "percutor" and v["martillos"] == "martillos"
     x, y = pa.array([["abc", "abc"], ["abc"], [], None], pa.list_(pa.string())), pa.array([["abc", "xyz"], ["xyz"], [], None], pa.list_(pa.string()))
     assert batch_cosines(x, y, np.ones(GRAMS), {}).round(3).tolist() == [0.707, 0.0, 0.0, 0.0]
+
+
+def _pairs(spark, rows):
+    d = spark.createDataFrame(rows + OTHERS, "id string, name string, brand string, price long")
+    known = {r[0] for r in rows}
+    return {tuple(r) for r in all_pairs(same_item_groups(d, "id", "name", "brand", F.col("price")), "l", "r").collect() if r[0] in known}
+
+
+def test_listings_whose_rarest_words_differ_meet(spark):
+    rows = [
+        ("a1", "Tubo PVC Rivokesge 32 mm 3 m", "Brovanta", 100), ("a2", "Tubo PVC Rivokesoge 32 mm 3 m", "Brovanta", 104),  # as rare as each other
+        ("b1", "Tubo PVC Dapofolafi 2 in", "Grelmado", 10), ("b2", "Tubo PVC Dapoflafi 3 in", "Grelmado", 10),  # another measure
+        ("c1", "Pintura Latex Segaroseno 4 gal gris", "Brovanta", 50), ("c2", "Pintura Ltex Segaroseno 15142 cc gray", "Brovanta", 52),  # a short stray word is rarer than the line
+        ("c3", "Pintura Latex Segaroseno 4 gal gris", "Brovanta", 51), ("c4", "Pintura Ltex Numabifago 4 gal gris", "Brovanta", 51),
+    ]
+    assert _pairs(spark, rows) == {("a1", "a2"), ("c1", "c2"), ("c1", "c3"), ("c2", "c3")}
