@@ -9,7 +9,8 @@
    blocks of their second rarest word and of words one edit from their rarest.
 4. Each such candidate pair (listing, representative of a class) must pass a
    cosine of character n-grams weighted by inverse frequency, and is vetoed by
-   conflicting measures, numbers or brands.
+   conflicting measures, numbers or brands.  Listings that their representative
+   turns away get a new one among themselves, until none is left.
 5. Confirmed pairs are clustered by hash-to-min.
 """
 
@@ -250,6 +251,19 @@ def confirm(links: DataFrame, known: DataFrame, weights: np.ndarray, min_cosine:
     return both.mapInArrow(run, "a string, b string")
 
 
+def settle(links: DataFrame, known: DataFrame, weights: np.ndarray, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """Confirmed pairs of the links; members that their representative turned away elect another one among themselves until none is left."""
+    done, left = None, links
+    while True:
+        pairs = cut(confirm(left, known, weights, min_cosine), "confirmed").df
+        done = pairs if done is None else done.unionByName(pairs)
+        vetoed = left.filter("home").join(pairs.select(F.col("a").alias("id"), F.col("b").alias("rep")), ["id", "rep"], "left_anti")
+        heads = vetoed.groupBy("rep").agg(F.min("id").alias("head"))
+        left = cut(vetoed.join(heads, "rep").filter("id <> head").select("id", F.col("head").alias("rep"), "home"), "vetoed").df
+        if left.isEmpty():
+            return done
+
+
 def same_item_groups(rows: DataFrame, ident: str, name: str, brand: str, price: Column, min_cosine: float = MIN_COSINE) -> DataFrame:
     """``member``, ``group_id`` of every listing that shares its article with another one.
 
@@ -272,7 +286,7 @@ def same_item_groups(rows: DataFrame, ident: str, name: str, brand: str, price:
     placed = cut(told_brands(slim.withColumn("home", F.lit(True)).unionByName(guests)).drop("words", "brand"), "placed")
     links = cut(candidate_links(placed.df), "links")
     placed.drop()
-    pairs = cut(confirm(links.df, known.df, weights, min_cosine), "settled")
+    pairs = cut(settle(links.df, known.df, weights, min_cosine), "settled")
     links.drop()
     known.drop()
     groups = hash_to_min(pairs.df)

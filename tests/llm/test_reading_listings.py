@@ -143,3 +143,13 @@ def test_listings_whose_rarest_words_differ_meet(spark):
         ("c3", "Pintura Latex Segaroseno 4 gal gris", "Brovanta", 51), ("c4", "Pintura Ltex Numabifago 4 gal gris", "Brovanta", 51),
     ]
     assert _pairs(spark, rows) == {("a1", "a2"), ("c1", "c2"), ("c1", "c3"), ("c2", "c3")}
+
+
+def test_every_brand_of_a_block_and_listings_of_odd_words_find_their_group(spark):
+    rows = [
+        ("a1", "Tubo PVC Pepolagole 110 mm 3 m", "Xerra", 10), ("a2", "Tubo PVC Pepolagole 110 mm 3 m", "Yanka", 20), ("a3", "Tubo PVC Pepolagole 11 cm 3 m", "Xerra", 10), ("a4", "Tubo Pepolagole 110 mm 3 m", "Yanka", 20),
+        ("a5", "Tubo PVC Pepolagole 110 mm 3 m", None, 20), ("a6", "Tubo PVC Pepolagole Xerra 110 mm 3 m", None, 14),
+        ("b1", "Lubapimeko " + " ".join(f"{a}{b}quizorvexajuk" for a in "bcdfg" for b in "aeiou"), None, 7), ("b2", "Tubo PVC Lubapimeko interior", None, 7), ("b3", "Tubo PVC Lubapimeko", None, 7),
+    ]
+    got = _pairs(spark, rows)
+    assert {("a2", "a4"), ("a2", "a5"), ("a4", "a5"), ("a1", "a3"), ("a1", "a6"), ("a3", "a6"), ("b2", "b3")} == got
