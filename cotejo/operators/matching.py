@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from cotejo.functions.catalog import NO_BRAND, name_tokens
+from cotejo.functions.catalog import NO_BRAND, lookup_url, name_tokens
 from cotejo.session import Cut, cut
 
 # fixed values: what each quality flag costs, and when two prices are too far apart
@@ -154,6 +154,26 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
     return now.df.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
 
+def resolve_row_ids(sides: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``resolved`` to ``rid``, ``store``, ``sku``, ``url``: the listing that each side of a decision means, null if none.
+
+    rows: ``silver_row_id``, ``store``, ``sku_store``, ``product_url``, one for
+    each listing.  In turn: the id itself, store and SKU with the same URL, store
+    and SKU if they are unique, store and URL.  Rows have no order, so the
+    smallest id stands for the first match and the largest for the last.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    key = lambda store, sku, url: [F.lower(text(F.col(store))).alias("_store"), text(F.col(sku)).alias("_sku"), lookup_url(F.col(url)).alias("_url")]
+    r = rows.filter("silver_row_id <> ''").select("silver_row_id", *key("store", "sku_store", "product_url")).filter("_store <> ''")
+    both = r.filter("_sku <> '' and _url <> ''").groupBy("_store", "_sku", "_url").agg(F.min("silver_row_id").alias("_both"))
+    only = r.filter("_sku <> ''").groupBy("_store", "_sku").agg(F.min("silver_row_id").alias("_only"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    by_url = r.filter("_url <> ''").groupBy("_store", "_url").agg(F.max("silver_row_id").alias("_last"))
+    ids = rows.filter("silver_row_id <> ''").select(F.col("silver_row_id").alias("rid"), F.col("silver_row_id").alias("_hit")).distinct()
+    d = sides.distinct().select("rid", "store", "sku", "url", *key("store", "sku", "url")).join(ids, "rid", "left")
+    d = d.join(both, ["_store", "_sku", "_url"], "left").join(only, ["_store", "_sku"], "left").join(by_url, ["_store", "_url"], "left")
+    return d.select("rid", "store", "sku", "url", F.coalesce("_hit", "_both", "_only", "_last").alias("resolved"))
+
+
 def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
     """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and member list."""
     sure = cut(scored.filter("tier = 'confident'").select("left_id", "right_id", "score"), "confident").df

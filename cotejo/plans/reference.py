@@ -400,6 +400,29 @@ def row_id_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("rid", "store", "sku", F.coalesce("hit", "only_id").alias("resolved"))
 
 
+def _lookup_sql(url: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim(coalesce({url}, '')), '[?#].*$', ''), '(/p)(?:/p)+$', '\\1', 'i')"
+    head = f"regexp_extract({bare}, '^[^:/?#]+://[^/]*')"
+    return f"regexp_replace(lower({head}) || substr({bare}, length({head}) + 1), '/+$', '')"
+
+
+@query(f"""WITH r AS (SELECT silver_row_id AS id, lower(trim(coalesce(store, ''))) AS s, trim(coalesce(sku_store, '')) AS k, {_lookup_sql('product_url')} AS u FROM {_BRONZE}),
+x AS (SELECT DISTINCT p.silver_row_id AS rid, p.store AS store, p.sku_store AS sku, p.product_url AS url
+  FROM (SELECT left_product AS p FROM gold_review_llm_decisions UNION ALL SELECT right_product FROM gold_review_llm_decisions)),
+y AS (SELECT *, lower(trim(coalesce(store, ''))) AS s, trim(coalesce(sku, '')) AS k, {_lookup_sql('url')} AS u FROM x),
+b AS (SELECT s, k, u, min(id) AS id FROM r WHERE s <> '' AND k <> '' AND u <> '' GROUP BY ALL),
+o AS (SELECT s, k, min(id) AS id FROM r WHERE s <> '' AND k <> '' GROUP BY ALL HAVING count(*) = 1),
+l AS (SELECT s, u, max(id) AS id FROM r WHERE s <> '' AND u <> '' GROUP BY ALL)
+SELECT y.rid, y.store, y.sku, y.url, coalesce(r.id, b.id, o.id, l.id) AS resolved FROM y LEFT JOIN r ON r.id = y.rid AND y.rid <> ''
+  LEFT JOIN b ON b.s = y.s AND b.k = y.k AND b.u = y.u LEFT JOIN o ON o.s = y.s AND o.k = y.k LEFT JOIN l ON l.s = y.s AND l.u = y.u""")
+def row_id_cascade_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cascade for both sides of a decision; row_id_cascade has the left sides by id and unique SKU only."""
+    d = table(spark, sf, "gold_review_llm_decisions")
+    sides = d.select(F.explode(F.array("left_product", "right_product")).alias("p"))
+    sides = sides.select(F.col("p.silver_row_id").alias("rid"), F.col("p.store").alias("store"), F.col("p.sku_store").alias("sku"), F.col("p.product_url").alias("url"))
+    return matching.resolve_row_ids(sides, _bronze(spark, sf))
+
+
 # --- loading
 @query("""SELECT id_unidad, nombre_unidad AS nombre FROM unit_target UNION ALL SELECT (SELECT max(id_unidad) FROM unit_target) + row_number() OVER (ORDER BY u), u
 FROM (SELECT DISTINCT lower(unidad_medida) AS u FROM bronze_product WHERE unidad_medida IS NOT NULL) WHERE u NOT IN (SELECT nombre_unidad FROM unit_target)""")

@@ -127,3 +127,14 @@ def test_sql_agrees(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_row_ids_by_every_step_of_the_cascade(spark):
+    rows = [("r1", "Easy", "k1", "https://x.cl/a/p"), ("r2", "easy", "k1", "https://x.cl/b"), ("r3", "easy", "k3", "https://x.cl/c"), ("r4", "easy", "", "https://x.cl/d")]
+    d = spark.createDataFrame(rows, "silver_row_id string, store string, sku_store string, product_url string")
+    sides = [
+        ("r1", None, None, None, "r1"), ("?", "EASY ", "k1", "HTTPS://X.cl/b/?q=1", "r2"), ("?", "easy", "k1", "https://x.cl/a/p/p", "r1"), ("?", "easy", "k1", "https://x.cl/z", None),
+        (None, "easy", " k3", "https://x.cl/z", "r3"), ("", "easy", "no", "https://x.cl/d/", "r4"), ("", "otra", "k3", "https://x.cl/d", None), (None, None, None, None, None),
+    ]
+    got = matching.resolve_row_ids(spark.createDataFrame([s[:4] for s in sides], "rid string, store string, sku string, url string"), d)
+    assert {tuple(r) for r in got.collect()} == set(sides)
