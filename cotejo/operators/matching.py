@@ -151,6 +151,8 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         now = nxt
         if moved:
             break
+    else:
+        raise RuntimeError(f"components not stable after {max_rounds} rounds")
     return now.df.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
 

@@ -138,3 +138,10 @@ def test_row_ids_by_every_step_of_the_cascade(spark):
     ]
     got = matching.resolve_row_ids(spark.createDataFrame([s[:4] for s in sides], "rid string, store string, sku string, url string"), d)
     assert {tuple(r) for r in got.collect()} == set(sides)
+
+
+def test_components_that_need_more_rounds_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "l int, r int")
+    with pytest.raises(RuntimeError, match="not stable"):
+        matching.components(chain, "l", "r", max_rounds=2)
+    assert {r["component"] for r in matching.components(chain, "l", "r").collect()} == {0}
