@@ -19,22 +19,38 @@ from cotejo.session import cut
 SEGMENT_ROWS_BITS = 19
 
 
-def attribute_histories(rows: DataFrame, keys: Sequence[str], time: str, attributes: Sequence[str], chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """Long change histories: keys, ``_attr``, ``_t``, ``_value`` (text).
+def value_type(rows: DataFrame, attributes: Sequence[str]) -> str:
+    """Type of ``_value``: that of the attributes if they share one, else text."""
+    kinds = {rows.schema[a].dataType.simpleString() for a in attributes}
+    return kinds.pop() if len(kinds) == 1 else "string"
+
+
+def attribute_histories(rows: DataFrame, keys: Sequence[str], time: str, attributes: Sequence[str], ident: str | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Long change histories: keys, ``_attr``, ``_t``, ``_value`` (see value_type).
 
     ``rows`` comes from standing().  Each attribute is folded on its own inside
     short sorted arrays; a chunk restates its first value, which changes no
     last-known match.  A null value is kept: from then on the value is null.
+    ``ident`` differs in every row, so its history is the rows as they are; where
+    it is the only attribute, rows needn't be standing ones.
     """
-    packed = chunked(rows, keys, time, attributes, chunk_bits)
+    kind = value_type(rows, attributes)
+    folded = [a for a in attributes if a != ident]
+    out = None
+    if ident in attributes:
+        out = rows.select(*keys, F.lit(list(attributes).index(ident)).alias("_attr"), F.col(time).alias("_t"), F.col(ident).cast(kind).alias("_value"))
+        if not folded:
+            return out
+    packed = chunked(rows, keys, time, folded, chunk_bits)
 
     def one(k: int, a: str):
-        slim = F.transform("_rows", lambda x: F.struct(x[time].alias("t"), x[a].cast("string").alias("v")))
+        slim = F.transform("_rows", lambda x: F.struct(x[time].alias("t"), x[a].cast(kind).alias("v")))
         t = packed.schema["_rows"].dataType.elementType[time].dataType.simpleString()
-        return F.transform(fold_changes(slim, ["v"], f"array<struct<t:{t},v:string>>"), lambda x: F.struct(F.lit(k).alias("k"), x["t"].alias("t"), x["v"].alias("v")))
+        return F.transform(fold_changes(slim, ["v"], f"array<struct<t:{t},v:{kind}>>"), lambda x: F.struct(F.lit(k).alias("k"), x["t"].alias("t"), x["v"].alias("v")))
 
-    changes = F.concat(*(one(k, a) for k, a in enumerate(attributes)))
-    return packed.select(*keys, F.explode(changes).alias("_c")).select(*keys, F.col("_c.k").alias("_attr"), F.col("_c.t").alias("_t"), F.col("_c.v").alias("_value"))
+    changes = F.concat(*(one(k, a) for k, a in enumerate(attributes) if a != ident))
+    long = packed.select(*keys, F.explode(changes).alias("_c")).select(*keys, F.col("_c.k").alias("_attr"), F.col("_c.t").alias("_t"), F.col("_c.v").alias("_value"))
+    return long if out is None else long.unionByName(out)
 
 
 def last_known(
@@ -53,13 +69,13 @@ def last_known(
     )
     ev = ev.withColumn("_attr", F.explode(F.array(*(F.lit(k) for k in range(n_attributes)))))
     both = histories.select(*keys, "_attr", "_t", F.lit(0).alias("_side"), "_value", F.lit(None).cast(ev.schema["_event"].dataType).alias("_event")).unionByName(
-        ev.select(*keys, "_attr", "_t", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_value"), "_event")
+        ev.select(*keys, "_attr", "_t", F.lit(1).alias("_side"), F.lit(None).cast(histories.schema["_value"].dataType).alias("_value"), "_event")
     )
     by = ["_attr", *keys]
-    placed = cut(positioned(both, by, ["_t", "_side"]).withColumn("_seg", F.shiftright("_pos", segment_bits)).drop("_pos"), "asof")
+    placed = cut(positioned(both, by, ["_t", "_side", "_value"]).withColumn("_seg", F.shiftright("_pos", segment_bits)).drop("_pos"), "asof")
 
     known = F.when(F.col("_side") == 0, F.struct("_t", "_value"))
-    in_seg = Window.partitionBy(*by, "_seg").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    in_seg = Window.partitionBy(*by, "_seg").orderBy("_t", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
     d = placed.df.withColumn("_known", F.last(known, ignorenulls=True).over(in_seg))
 
     per = Window.partitionBy(*by)
@@ -81,19 +97,22 @@ def attributes_at(
     attributes: Sequence[str],
     event_id: str,
     event_time: str,
+    ident: str | None = None,
     chunk_bits: int = CHUNK_BITS,
     segment_bits: int = SEGMENT_ROWS_BITS,
 ) -> DataFrame:
     """One row for each event with any attribute known at its time.
 
-    rows: standing captures (see history.standing) with the ``attributes``.
+    rows: standing captures (see history.standing) with the ``attributes``; if
+    only ``ident`` is asked for, any captures: the highest ident of a time counts.
     events: ``keys``, ``event_id`` (unique) and ``event_time``; events with a
     null id, key or time match nothing.  Result: event_id and each attribute in
     its own type.  Columns other than those named are
     ignored, so clashing names don't matter.
     """
     types = {a: rows.schema[a].dataType for a in attributes}
-    long = attribute_histories(rows, keys, time, attributes, chunk_bits)
+    usable = rows.dropna(subset=[*keys, time, *([ident] if ident else [])])
+    long = attribute_histories(usable if list(attributes) == [ident] else rows, keys, time, attributes, ident, chunk_bits)
     hits = last_known(long, events, keys, event_id, event_time, len(attributes), segment_bits)
     cols = []
     for k, a in enumerate(attributes):

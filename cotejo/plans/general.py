@@ -42,20 +42,22 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(*PAIR, F.col("first_id").alias("id_precio_desde"), F.coalesce("next_id", F.lit(0)).alias("id_precio_hasta"))
 
 
-def _known(spark: SparkSession, sf: str) -> DataFrame:
+def _known(spark: SparkSession, sf: str, attributes: list[str]) -> DataFrame:
     quotes = table(spark, sf, "cotizacion").filter("fecha_creacion is not null").select("id_cotizacion", "fecha_creacion")
     lines = table(spark, sf, "detalle_cotizacion").select("id_detalle", "id_cotizacion", *PAIR).join(quotes, "id_cotizacion")
-    rows = standing(_captures(spark, sf), PAIR, "fecha_captura", "id_precio", ["precio_clp", "disponible"])
-    return attributes_at(rows, lines, PAIR, "fecha_captura", ["id_precio", "precio_clp", "disponible"], "id_detalle", "fecha_creacion")
+    rows = _captures(spark, sf)
+    if attributes != ["id_precio"]:
+        rows = standing(rows, PAIR, "fecha_captura", "id_precio", ["precio_clp", "disponible"])
+    return attributes_at(rows, lines, PAIR, "fecha_captura", attributes, "id_detalle", "fecha_creacion", "id_precio")
 
 
 def p3_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Each quote line with capture, price and availability as known when the quote was made."""
-    return _known(spark, sf).withColumn("precio_clp", F.col("precio_clp").cast("double"))
+    return _known(spark, sf, ["id_precio", "precio_clp", "disponible"]).withColumn("precio_clp", F.col("precio_clp").cast("double"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf).select("id_detalle", "id_precio")
+    return _known(spark, sf, ["id_precio"]).select("id_detalle", "id_precio")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

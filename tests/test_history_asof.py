@@ -85,6 +85,10 @@ def test_asof_matches_brute_force(spark, segment_bits):
         if past:
             want.add((e, *max(past)[1]))
     assert set(map(tuple, got.collect())) == want
+    only = attributes_at(spark.createDataFrame(rows, SCHEMA), ev, ["p", "r"], "t", ["id"], "event", "at", "id", segment_bits=segment_bits)
+    assert set(map(tuple, only.collect())) == {(e, i) for e, i, *_ in want}  # without standing(): ties leave the highest ident
+    same = attributes_at(keep, ev, ["p", "r"], "t", ["id", "price", "ok"], "event", "at", "id", chunk_bits=2, segment_bits=segment_bits)
+    assert set(map(tuple, same.collect())) == want
 
 
 def test_asof_never_uses_later_values_and_handles_empty(spark):
