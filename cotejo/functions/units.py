@@ -55,12 +55,9 @@ PRICE_PER = rf"(?:(?:precio|valor)\s+(?:por|x)\s+|\$\s*/\s*)((?:{NUMBER}\s*)?{ST
 
 def unit_map(part: int, common: str | None = None) -> Column:
     """Map literal from spelling to common unit (0) or factor (1)."""
-    cells: list[Column] = []
-    for name, known in NAMES.items():
-        if common not in (None, known[0]):
-            continue
-        cells += [F.lit(name), F.lit(known[0]) if part == 0 else F.lit(str(known[1])).cast("decimal(24,12)")]
-    return F.create_map(*cells)
+    known = [(name, c, f) for name, (c, f) in NAMES.items() if common in (None, c)]
+    cell = lambda c, f: f"'{c}'" if part == 0 else f"cast('{f}' as decimal(24,12))"
+    return F.expr(f"map({', '.join(f"'{name}', {cell(c, f)}" for name, c, f in known)})")
 
 
 def number(text: Column, stem: Column) -> Column:
@@ -108,7 +105,8 @@ def stated(name: Column, commons: tuple[str, ...] = ("kg", "lt", "m", "un")) ->
     """Array of struct<common, amount>: the first quantity of each magnitude that a name states, in its common unit."""
 
     def first(t: Column, common: str) -> Column:
-        pattern = rf"(?<![\d.,/a-z])({NUMBER})\s*({_GROUPS[common]})(?![a-z0-9])"
+        side = r"(?<!\d\s{0,2}x\s{0,2})" if common == "m" else ""  # the side of a tile is no contents
+        pattern = rf"(?<![\d.,/a-z]){side}({NUMBER})\s*({_GROUPS[common]})(?![a-z0-9])"
         found = F.struct(F.regexp_extract(t, pattern, 1).alias("n"), F.regexp_extract(t, pattern, 2).alias("s"))
         return let(found, lambda f: F.struct(F.lit(common).alias("common"), (number(f["n"], f["s"]) * F.element_at(unit_map(1, common), f["s"])).cast("decimal(28,12)").alias("amount")))
 

@@ -11,7 +11,7 @@ from cotejo.functions import units as u
 from cotejo.operators.asof import attributes_at
 from cotejo.operators.history import change_history, standing
 from cotejo.operators.snapshots import canonical_product_url, snapshot_changes
-from cotejo.operators.units import harmonise_measures, harmonise_prices
+from cotejo.operators.units import harmonise
 from cotejo.sources.tables import table
 
 PAIR = ["id_producto_maestro", "id_retailer"]
@@ -61,8 +61,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    b = harmonise_prices(table(spark, sf, "bronze_product")).select(F.lit("bronze_product").alias("tabla"), F.col("silver_row_id").alias("clave"), "unidad_comun", "valor")
-    m = harmonise_measures(table(spark, sf, "producto_maestro"), table(spark, sf, "unit_target"))
+    same = table(spark, sf, "gold_products").select(F.col("gold_product_id").alias("entity"), F.explode("store_variants.silver_row_id").alias("silver_row_id"))
+    b, m = harmonise(table(spark, sf, "bronze_product"), table(spark, sf, "producto_maestro"), table(spark, sf, "unit_target"), same)
+    b = b.select(F.lit("bronze_product").alias("tabla"), F.col("silver_row_id").alias("clave"), "unidad_comun", "valor")
     m = m.select(F.lit("producto_maestro").alias("tabla"), F.col("id_producto").cast("string").alias("clave"), "unidad_comun", "valor")
     return b.unionByName(m).dropDuplicates()
 

@@ -6,8 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions import units as units_fn
 from cotejo.functions.units import price_phrase, stated, unit_phrase
 from cotejo.operators.snapshots import canonical_product_url, snapshot_changes
+from cotejo.operators import units as units_op
 from cotejo.operators.units import harmonise_measures, harmonise_prices, pair_scales, snap, source_factors
 
 SNAP = "g string, s string, k string, a string, b int, change string"
@@ -84,7 +86,7 @@ def test_scales_snap_and_propagate(spark):
     d = spark.createDataFrame(links, "source string, target string, x double, y double")
     s = {r["source"]: r for r in pair_scales(d).collect()}
     assert abs(s["libra"]["scale"] / 0.4536 - 1) < 0.03 and abs(s["libra"]["offset"]) < 0.5
-    got = {r["source"]: r["est_factor"] for r in source_factors(d).collect()}
+    got = {r["source"]: r["est_factor"] for r in source_factors(d.withColumn("kind", F.lit(0)), d.select("source")).collect()}
     assert got["libra"] == Decimal("0.45359237") and "raro" not in got  # 7.7 is no known conversion
     snapped = spark.range(1).select(snap(F.lit(0.3), F.lit("m")).alias("a"), snap(F.lit(0.15), F.lit("m")).alias("b")).first()
     assert snapped["a"] == Decimal("0.3048") and snapped["b"] is None
@@ -141,5 +143,44 @@ def test_spellings_outside_the_dictionary_are_resolved_by_links(spark):
 
 def test_factors_reach_over_other_spellings(spark):
     links = [("libra", "kg", float(x), 0.45359237 * x) for x in range(1, 20)] + [("lbr", "libra", float(x), 1.0 * x) for x in range(1, 20)]
-    got = {r["source"]: r["est_factor"] for r in source_factors(spark.createDataFrame(links, "source string, target string, x double, y double")).collect()}
+    d = spark.createDataFrame(links, "source string, target string, x double, y double")
+    got = {r["source"]: r["est_factor"] for r in source_factors(d.withColumn("kind", F.lit(0)), d.select("source")).collect()}
     assert got["lbr"] == Decimal("0.45359237")
+
+
+def shop_listings(seed, units, n=60):
+    """Listings of two shops for each article, with a unit price each and no contents in the name."""
+    rnd, rows, same = random.Random(seed), [], []
+    for i in range(n):
+        per_kilo = rnd.randint(3000, 90000)
+        for unit, factor in units:
+            rows.append((f"{unit}{i}", "Articulo", None, None, None, None, round(per_kilo * factor * rnd.uniform(0.95, 1.05)), unit, "x"))
+            same.append((f"e{i}", f"{unit}{i}"))
+    return rows, same
+
+
+def test_shared_articles_link_spellings_and_the_name_list_is_not_needed(spark, monkeypatch):
+    rows, same = shop_listings(4, [("kg", 1), ("libra", 0.45359237), ("lbr", 0.45359237), ("caja", 1)])
+    d, e = spark.createDataFrame(rows, LISTING), spark.createDataFrame(same + [("e1", None), (None, "kg1"), ("e1", "kg2")], "entity string, silver_row_id string")
+    got = {r["silver_row_id"]: (r["unidad_comun"], r["valor"]) for r in harmonise_prices(d, e).collect()}
+    by_price = {r[0]: r[6] for r in rows}
+    want = {k: ("kg", int(Decimal(p) / Decimal("0.45359237" if k[0] == "l" else "1") + Decimal("0.5"))) for k, p in by_price.items() if not k.startswith("caja")}
+    assert got == want
+    for name in ("libra", "lb", "lbs", "libras"):
+        monkeypatch.delitem(units_fn.NAMES, name)
+    assert {r["silver_row_id"]: (r["unidad_comun"], r["valor"]) for r in harmonise_prices(d, e).collect()} == want
+
+
+def test_without_estimates_linked_spellings_give_no_rows(spark, monkeypatch):
+    rows, same = shop_listings(5, [("kg", 1), ("libra", 0.45359237)])
+    rows += [("few", "Articulo", None, None, None, None, 500, "gramo", "x")]
+    d, e = spark.createDataFrame(rows, LISTING), spark.createDataFrame(same, "entity string, silver_row_id string")
+    monkeypatch.setattr(units_op, "snap", lambda *a, **k: F.lit(None).cast("decimal(24,12)"))
+    got = {r["silver_row_id"] for r in harmonise_prices(d, e).collect()}
+    assert got == {r[0] for r in rows if r[7] == "kg"} | {"few"}  # the name stands in only for spellings with too few links
+
+
+def test_pack_contents_and_tile_sides(spark):
+    d = spark.createDataFrame([("Sellador 600 ml bolsa 12 un",), ("Piso 30 x 60 cms",), ("Tubo 3 m",)], "n string")
+    q = [{x["common"]: float(x["amount"]) for x in r[0]} for r in d.select(stated(F.col("n"))).collect()]
+    assert q == [{"lt": 0.6, "un": 12.0}, {}, {"m": 3.0}]
