@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import units as u
 from cotejo.operators.asof import attributes_at
 from cotejo.operators.history import change_history, standing
-from cotejo.operators.snapshots import canonical_product_url, snapshot_changes
+from cotejo.operators.snapshots import canonical_product_url, pruning_report, snapshot_changes
 from cotejo.operators.units import harmonise
 from cotejo.sources.tables import table
 
@@ -68,9 +68,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return b.unionByName(m).dropDuplicates()
 
 
+def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "bronze_snapshot").withColumn("_url", canonical_product_url(F.col("product_url")))
+
+
+def p7_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both deliveries, and those that reach the row comparison."""
+    return pruning_report(_deliveries(spark, sf), "store", "snapshot_date", "_url", COMPARED)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "bronze_snapshot").withColumn("_url", canonical_product_url(F.col("product_url")))
-    return snapshot_changes(s, "store", "snapshot_date", "_url", COMPARED).select("store", F.col("_url").alias("product_url"), "snapshot_date", F.col("change").alias("cambio"))
+    return snapshot_changes(_deliveries(spark, sf), "store", "snapshot_date", "_url", COMPARED).select("store", F.col("_url").alias("product_url"), "snapshot_date", F.col("change").alias("cambio"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_attributes": p3_attributes,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_pruning": p7_pruning,
 }
 
 _STANDING = """

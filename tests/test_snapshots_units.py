@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import units as units_fn
 from cotejo.functions.units import price_phrase, stated, unit_phrase
-from cotejo.operators.snapshots import canonical_product_url, snapshot_changes
+from cotejo.operators.snapshots import canonical_product_url, pruning_report, snapshot_changes
 from cotejo.operators import units as units_op
 from cotejo.operators.units import harmonise_measures, harmonise_prices, pair_scales, snap, source_factors
 
@@ -32,8 +32,8 @@ def diff(rows):
     return out
 
 
-@pytest.mark.parametrize("leaf_rows", [1, 4, 64])
-def test_snapshot_changes_match_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize(("leaf_rows", "range_rows", "fan_bits"), [(1, 1, 1), (2, 8, 4), (64, 512, 4)])
+def test_snapshot_changes_match_brute_force(spark, leaf_rows, range_rows, fan_bits):
     rnd = random.Random(leaf_rows)
     rows = []
     for g in ("x", "y"):
@@ -44,10 +44,16 @@ def test_snapshot_changes_match_brute_force(spark, leaf_rows):
                     rows += [row] * rnd.choice([1, 1, 2])
     rows += [("x", "2026-01-08", "hot", "a", 1, "c")] * 300  # one key with very many copies
     rows += [(None, "2026-01-01", "u1", "a", 1, ""), ("x", None, "u1", "a", 1, ""), ("x", "2026-01-01", None, "a", 1, "")]
-    got = snapshot_changes(spark.createDataFrame(rows, SNAP), "g", "s", "k", ["a", "b"], leaf_rows=leaf_rows)
+    got = snapshot_changes(spark.createDataFrame(rows, SNAP), "g", "s", "k", ["a", "b"], leaf_rows, range_rows, fan_bits)
     assert set(map(tuple, got.select("g", "k", "s", "change").collect())) == diff(rows)
 
 
+def test_the_tree_spares_unchanged_rows(spark):
+    rows = [("x", str(s), f"u{k}", "b" if s == 2 and k < 10 else "a", 1, "") for s in (1, 2) for k in range(1000)] + [("y", "1", "k", "a", 1, "")]
+    got = pruning_report(spark.createDataFrame(rows, SNAP), "g", "s", "k", ["a", "b"]).collect()
+    assert [(r["g"], r["s"], r["rows"]) for r in got] == [("x", "2", 2000)] and 20 <= got[0]["compared_rows"] <= 100
+
+
 def test_null_and_value_differ_and_empty(spark):
     rows = [("x", "1", "k", None, 1, ""), ("x", "2", "k", "", 1, "")]
     assert [r["change"] for r in snapshot_changes(spark.createDataFrame(rows, SNAP), "g", "s", "k", ["a", "b"]).collect()] == ["changed"]
