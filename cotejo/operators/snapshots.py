@@ -81,7 +81,7 @@ def _compared(rows: DataFrame, group: str, snapshot: str, key: str, compared: Se
 
     wide = lambda c: F.sum(c.cast("decimal(20,0)"))
     one, two = F.xxhash64("_k", "_h"), F.xxhash64(F.lit(3), "_k", "_h")
-    ranges = placed.groupBy("_g", "_p", "_i").agg(F.xxhash64(F.count(F.lit(1)), wide(one), wide(two)).alias("_d"))
+    ranges = cut(digests.groupBy("_g", "_p", "_i").agg(F.xxhash64(F.count(F.lit(1)), wide(one), wide(two)).alias("_d")), "ranges").df
     open_ = _open_ranges(ranges, numbered.filter("_i > 1"), range_bits, fan_bits)
 
     roles = F.filter(F.array(F.struct(F.col("_i").alias("i"), F.lit(True).alias("new")), F.struct((F.col("_i") + 1).alias("i"), F.lit(False).alias("new"))), lambda x: F.array_contains("_open", x["i"]))
