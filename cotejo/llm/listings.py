@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm.groups import hash_to_min
@@ -186,10 +186,11 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     # those that nobody named a brand for are a last resort of their own kind
     last = F.col("k.open") & F.col("a_open")
     met = met.select("id", F.col("k.block").alias("block"), "lp", "home", "open", score.alias("s"), own.alias("own"), last.alias("last"), "rep", "n")
-    each = met.groupBy("id", "block", "lp", "home", "open").agg(
-        F.slice(F.array_sort(F.collect_list(F.when(~F.col("last"), F.struct("s", "rep")))), 1, 2).alias("best"),
-        F.max(F.when(F.col("own"), F.struct("s", "rep", "n"))).alias("mine"),
-    )
+    # of any number of articles only the two nearest and the own one go on: ranks limit each task's rows before the exchange
+    rank = F.row_number().over(Window.partitionBy("id", "block").orderBy("last", "s", "rep"))
+    near = met.withColumn("_r", rank).filter("_r <= 2").groupBy("id", "block").agg(F.array_sort(F.collect_list(F.when(~F.col("last"), F.struct("s", "rep")))).alias("best"))
+    mine = met.groupBy("id", "block", "lp", "home", "open").agg(F.max(F.when(F.col("own"), F.struct("s", "rep", "n"))).alias("mine"))
+    each = mine.join(near, ["id", "block"])
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     stays = F.col("lp").isNull() | (first["rep"] == F.col("mine.rep")) | ((F.col("mine.s") < WIDE) & (F.col("mine.n") > 1)) | (first["s"] >= NEAR)
     alone = second.isNull() & ((first["s"] < WIDE) | (first["s"] == NO_PRICE))

@@ -95,35 +95,44 @@ def _strip_html(s: str) -> str:
     return html.unescape(re.sub(r"<[^>]*>", "", s))
 
 
-def _texts(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(kind, text) of the parts that aren't attachments; kind is plain or html."""
-    head, body = _split(text)
-    kind = _field(head, "content-type").lower()
-    if "attachment" in _field(head, "content-disposition").lower():
-        return []
+def _parts(head: str, body: str, kind: str) -> list[str] | None:
+    """Raw parts of a multipart body, in order; null if it is none."""
     m = _BOUNDARY.search(_field(head, "content-type"))
     mark = (m.group(1) or m.group(2)) if m else ""
     if not mark and not kind.startswith("text/"):
         m = re.search(r"^--(\S{6,})\nContent-", body, re.M | re.I)
         mark = m.group(1) if m else ""
-    if mark and depth < 8:
-        found: list[tuple[str, str]] = []
-        # a nested boundary may begin with the outer one, so the line has to end after it
-        pieces = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|$)", body)
-        for closing, part in zip(pieces[1::2], pieces[2::2], strict=False):
-            if closing:
-                break
-            found += _texts(part.removeprefix("\n"), depth + 1)
-        if found or kind.startswith("multipart/"):
-            return found
-    if kind and not kind.startswith("text/"):
-        return []
-    if kind.startswith("text/") and not kind.startswith(("text/plain", "text/html")):
-        return []
-    m = _CHARSET.search(kind)
-    out = _decode(body, _field(head, "content-transfer-encoding").lower(), m.group(1) if m else "")
-    out = out.replace("\r\n", "\n").replace("\r", "\n")
-    return [("html" if kind.startswith("text/html") else "plain", out)]
+    if not mark:
+        return None
+    # a nested boundary may begin with the outer one, so the line has to end after it
+    pieces = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|$)", body)
+    found = []
+    for closing, part in zip(pieces[1::2], pieces[2::2], strict=False):
+        if closing:
+            break
+        found.append(part.removeprefix("\n"))
+    return found if found or kind.startswith("multipart/") else None
+
+
+def _texts(text: str) -> list[tuple[str, str]]:
+    """(kind, text) of the parts that aren't attachments, nested to any depth; kind is plain or html."""
+    out: list[tuple[str, str]] = []
+    waiting = [text]
+    while waiting:
+        head, body = _split(waiting.pop())
+        kind = _field(head, "content-type").lower()
+        if "attachment" in _field(head, "content-disposition").lower():
+            continue
+        parts = _parts(head, body, kind)
+        if parts is not None:
+            waiting += reversed(parts)
+            continue
+        if kind and not kind.startswith(("text/plain", "text/html")):
+            continue
+        m = _CHARSET.search(kind)
+        got = _decode(body, _field(head, "content-transfer-encoding").lower(), m.group(1) if m else "")
+        out.append(("html" if kind.startswith("text/html") else "plain", got.replace("\r\n", "\n").replace("\r", "\n")))
+    return out
 
 
 def _own_lines(text: str) -> str:

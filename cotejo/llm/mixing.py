@@ -80,7 +80,7 @@ def mix(sizes: DataFrame, target: DataFrame, seed: int = 17, bucket: int = BUCKE
     source's average.  Repeated rows are documents of their own.
     """
     spark = sizes.sparkSession
-    base = cut(sizes.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")), "sizes").df
+    base = cut(sizes.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).withColumn("_row", F.monotonically_increasing_id()), "sizes").df  # written, so that row numbers stay
     have = base.groupBy("source").agg(F.sum("tokens").alias("have"), F.count_if(F.col("tokens") > 0).alias("n"))
     goal = target.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r"))
     # one row for each row of the target table
@@ -98,7 +98,7 @@ def mix(sizes: DataFrame, target: DataFrame, seed: int = 17, bucket: int = BUCKE
     settled = d.filter("frac = 0 or tokens <= 0").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
 
     # the reduction tree: level by level, one bucket for each node
-    open_ = d.filter("frac > 0 and tokens > 0").select("doc_id", "source", "tokens", "whole", F.col("frac").alias("p"), F.pmod(F.xxhash64("doc_id", "tokens"), "n_buckets").alias("node"))
+    open_ = d.filter("frac > 0 and tokens > 0").select("doc_id", "source", "tokens", "whole", F.col("frac").alias("p"), F.pmod(F.xxhash64("doc_id", "_row"), "n_buckets").alias("node"))
     schema = "doc_id long, source string, tokens long, whole int, p double, node long"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.llm.groups import hash_to_min, star_edges
 from cotejo.llm.listings import all_pairs, same_item_groups
 from cotejo.llm.mixing import mix
-from cotejo.llm.packing import fill_report, pack
+from cotejo.llm.packing import fill_report, pack, window_shares
 from cotejo.llm.reading import reading_levels
 from cotejo.llm.sql import SQL  # noqa: F401
 from cotejo.llm.survivor import filled, newest, survivors, usable_brand, usable_image
@@ -92,6 +92,12 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(pack(_sizes(spark, sf), caps), caps)
 
 
+def p8_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the windows of each capacity keep to the sources' token shares."""
+    caps = table(spark, sf, "pack_capacity")
+    return window_shares(pack(_sizes(spark, sf), caps), caps)
+
+
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     """How often every message appears in the mix."""
     return mix(_sizes(spark, sf), table(spark, sf, "mix_target"))[0]
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
+    "p8_windows": p8_windows,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,

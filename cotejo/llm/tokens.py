@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,8 +17,10 @@ from pyspark.sql import types as T
 VOCABULARY = os.environ.get("COTEJO_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # fixed value: how byte-level BPE splits text before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: a run without any split point is encoded in slices of so many characters; merging is not linear in a piece's length
-LONG_RUN = 200_000
+#: characters that are handed to the encoder at once; longer texts go in slices that end where its pattern always splits
+SLICE = 100_000
+#: a blank between two characters that aren't: every alternative of the pattern starts a new piece there
+_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
@@ -28,21 +32,38 @@ def _encoder(path: str):
     return tiktoken.Encoding("cotejo", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of the whole text; 0 for null and empty texts."""
+@functools.cache
+def _pieces() -> regex.Pattern:
+    return regex.compile(PATTERN)
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in slices of about ``size`` characters, cut only at split points; a slice without any may be longer."""
+    pos = 0
+    while len(text) - pos > size:
+        cut = _SPLIT.search(text, pos + size)
+        if cut is None:
+            break
+        yield text[pos : cut.start()]
+        pos = cut.start()
+    yield text[pos:]
+
+
+def count_tokens(text: str | None, path: str = VOCABULARY, size: int = SLICE) -> int:
+    """Tokens of the whole text, whatever its length; 0 for null and empty texts.
+
+    Slices end at split points, so their counts add up to that of the whole.  A
+    slice that has none for long (a run of blanks or signs, which would exhaust the
+    encoder's pattern engine) is split by the same pattern here, piece by piece.
+    """
     if not text:
         return 0
-    enc = _encoder(path)
-    if len(text) <= LONG_RUN:
-        return len(enc.encode_ordinary(text))
-    n, pos = 0, 0
-    while pos < len(text):  # cut before a white space, so that most pieces stay whole
-        end = min(len(text), pos + LONG_RUN)
-        if end < len(text):
-            gap = max(text.rfind(" ", pos + 1, end), text.rfind("\n", pos + 1, end))
-            end = gap if gap > pos else end
-        n += len(enc.encode_ordinary(text[pos:end]))
-        pos = end
+    enc, n = _encoder(path), 0
+    for part in slices(text, size):
+        if len(part) <= 2 * size:
+            n += len(enc.encode_ordinary(part))
+        else:
+            n += sum(len(enc.encode_ordinary(m) if len(m) <= size else enc._core_bpe.encode_single_piece(m.encode("utf-8", "replace"))) for m in (x.group() for x in _pieces().finditer(part)))
     return n
 
 

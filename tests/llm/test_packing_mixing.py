@@ -4,10 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cotejo.llm.mixing import mix, pivot, targets
-from cotejo.llm.packing import fill_report, pack
-from cotejo.llm.tokens import VOCABULARY, _encoder, count_tokens, with_token_counts
+from cotejo.llm.packing import fill_report, pack, window_shares
+from cotejo.llm.tokens import VOCABULARY, _encoder, count_tokens, slices, with_token_counts
 
 
 def sizes(spark, n, seed):
@@ -62,6 +64,25 @@ def test_windows_follow_the_proportions(spark):
         assert abs(first.count("b") / len(first) - 0.25) < 0.06
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b ", " ", "  ", "\n", "\t", "'s", "1", "²", "é", "漢", "=", " (", " \x85", " \x1c", "x y"]), max_size=200), st.integers(1, 60))
+def test_slices_never_change_the_count(parts, size):
+    text = "".join(parts)
+    assert "".join(slices(text, size)) == text
+    assert count_tokens(text, size=size) == len(_encoder(VOCABULARY).encode_ordinary(text))
+
+
+def test_window_report_and_repeated_rows(spark):
+    rows = [(i, "a" if i % 4 else "b", 10) for i in range(4000)] + [(1, "a", 10)] * 4000  # half of all rows are one repeated row
+    d, caps = spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")
+    out = pack(d, caps, partition_items=1000, window=8)
+    per = Counter(r["container_id"].split("-")[0] for r in out.collect())
+    assert sum(per.values()) == 8000 and max(per.values()) < 1300  # the repeated row is spread over all partitions
+    got = {r["source"]: r for r in window_shares(out, caps, window=8).collect()}
+    assert got["a"]["target_share"] == got["a"]["share"] == 0.875 and got["a"]["mean_distance"] < 0.05
+    assert window_shares(out.limit(0), caps).collect() == []
+
+
 def test_pack_empty(spark):
     none = spark.createDataFrame([], "doc_id long, source string, tokens long")
     assert pack(none, spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")).collect() == []
@@ -115,7 +136,9 @@ def test_mix_empty(spark):
 def test_token_counts(spark):
     assert count_tokens(None) == count_tokens("") == 0
     long = "palabra " * 60_000
-    assert abs(count_tokens(long) - len(_encoder(VOCABULARY).encode_ordinary(long))) <= 2
+    assert count_tokens(long) == len(_encoder(VOCABULARY).encode_ordinary(long))
+    for run in (" " * 500_000, "=" * 500_000, "a" * 500_000 + "\n" * 300_000 + "b"):  # nowhere to cut
+        assert count_tokens(run) > 0
     d = spark.createDataFrame([(1, "hola mundo", "s"), (2, None, None), (3, "", "s")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["tokens"] for r in with_token_counts(d, "text", ["doc_id", "source"]).collect()}
     assert got[1] == count_tokens("hola mundo") > 0 and got[2] == got[3] == 0

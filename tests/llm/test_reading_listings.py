@@ -65,6 +65,13 @@ def test_own_text_of_long_and_broken_input():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
+def test_parts_nested_to_any_depth():
+    raw = "Content-Type: text/plain\n\nhola mundo"
+    for k in range(60):
+        raw = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{raw}\n--b{k}--\n'
+    assert own_text(raw) == "hola mundo"
+
+
 def test_held_out_accuracy(spark):
     docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/reading_sample.parquet")
     train, held = marks.filter("doc_id % 2 = 0"), marks.filter("doc_id % 2 = 1")
