@@ -176,17 +176,23 @@ def resolve_row_ids(sides: DataFrame, rows: DataFrame) -> DataFrame:
     return d.select("rid", "store", "sku", "url", F.coalesce("_hit", "_both", "_only", "_last").alias("resolved"))
 
 
+def short_hash(ids: Column) -> Column:
+    """16 hex digits of the SHA-1 of an array of ids, sorted and joined by '|'."""
+    return F.substring(F.sha1(F.array_join(F.array_sort(ids), "|")), 1, 16)
+
+
 def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and member list."""
+    """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and an id made of the members.
+
+    The id needs all member ids of a component in one cell, as its definition has it.
+    """
     sure = cut(scored.filter("tier = 'confident'").select("left_id", "right_id", "score"), "confident").df
-    comp = components(sure, "left_id", "right_id")
+    comp = cut(components(sure, "left_id", "right_id"), "components").df
     m = comp.join(rows, "id")
-    base = F.min_by("name", F.struct(F.size("flags").alias("a"), (-F.length("name")).alias("b"), F.col("id").alias("c")))
+    best = F.struct(F.size("flags").alias("a"), (-F.length("name")).alias("b"), F.col("id").alias("c"))
     per = m.groupBy("component").agg(
-        F.countDistinct("store").alias("stores"), F.count(F.lit(1)).alias("members"), base.alias("name"), F.max("brand").alias("brand"),
-        F.min(F.when(F.col("price") > 0, F.col("price"))).alias("price_reference"),
-        # the hash covers all members; summed, so that a component of any size is reduced before the exchange
-        F.sum(F.crc32(F.col("id").cast("string").cast("binary"))).alias("member_sum"),
+        F.countDistinct("store").alias("stores"), F.count(F.lit(1)).alias("members"), F.min_by("name", best).alias("name"), F.min_by("brand", best).alias("brand"),
+        F.min(F.when(F.col("price") > 0, F.col("price"))).alias("price_reference"), short_hash(F.collect_set(F.col("id").cast("string"))).alias("gold_id"),
     ).filter("stores >= 2")
     s = sure.join(comp.select(F.col("id").alias("left_id"), "component"), "left_id").groupBy("component").agg(
         F.count(F.lit(1)).alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bround(F.avg("score"), 2).alias("avg_score")
@@ -194,6 +200,11 @@ def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
     return per.join(s, "component")
 
 
+def are_similar(left: Column, right: Column, threshold: int = 90) -> Column:
+    """Whether the token-set ratio of two names reaches the threshold."""
+    return token_similarity(left, right) >= threshold
+
+
 def merged_components(entities: DataFrame, entity: str, member: str, accepted: DataFrame, left: str, right: str) -> DataFrame:
     """Entities after accepted pairs were integrated: ``id``, ``component`` over entity members and accepted links together.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import catalog as fn
 from cotejo.functions import pages
 from cotejo.operators import matching, store
+from cotejo.plans import scores_sql
 from cotejo.session import shared_dir
 from cotejo.sources.tables import table
 from cotejo.streaming import refresh
@@ -602,3 +603,16 @@ def shared_products(spark: SparkSession, sf: str) -> DataFrame:
     d = a.join(b, (F.col("a.id_producto_maestro") == F.col("b.id_producto_maestro")) & (F.col("a.id_retailer") < F.col("b.id_retailer")))
     pair = F.concat(F.least("a.nombre_retailer", "b.nombre_retailer"), F.lit("-"), F.greatest("a.nombre_retailer", "b.nombre_retailer"))
     return d.groupBy(pair.alias("par")).agg(F.countDistinct("a.id_producto_maestro").alias("productos"))
+
+
+@query()
+def similar_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct names that share a word, with their token-set ratio: names are few however many rows have them."""
+    w = table(spark, sf, "part").select(F.lower("p_name").alias("x")).distinct().withColumn("tok", F.explode(F.array_distinct(F.split("x", " "))))
+    a, b = w.alias("a"), w.alias("b")
+    d = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.x") < F.col("b.x"))).select(F.col("a.x").alias("izquierda"), F.col("b.x").alias("derecha")).distinct()
+    d = d.withColumn("puntaje", matching.token_similarity("izquierda", "derecha"))
+    return d.withColumn("similar", matching.are_similar(F.col("izquierda"), F.col("derecha"), 60))
+
+
+SQL.update(scores_sql.SQL)
