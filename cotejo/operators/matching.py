@@ -41,6 +41,24 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return same.select(*pick).unionByName(left.select(*pick)).unionByName(right.select(*pick))
 
 
+def blocking_counts(rows: DataFrame) -> DataFrame:
+    """``rule``, ``pairs``: pairs of rows of different stores that share a token, by the first rule that stops them (brand_mismatch, unit_mismatch) or passed.
+
+    Rows of one store with equal tokens, brand and unit are one class with a
+    count, so pairs are counted and not formed.
+    """
+    toks = F.array_sort(name_tokens(F.col("name")))
+    c = rows.select("store", "brand", "unit", toks.alias("toks")).filter(F.size("toks") > 0).groupBy("store", "brand", "unit", "toks").agg(F.count(F.lit(1)).alias("n"))
+    # token sets meet once, however many classes have them
+    sets = cut(c.select("toks").distinct(), "token-sets").df
+    e = sets.withColumn("tok", F.explode("toks"))
+    met = e.alias("l").join(e.alias("r"), (F.col("l.tok") == F.col("r.tok")) & (F.col("l.tok") == F.array_min(F.array_intersect("l.toks", "r.toks")))).select(F.col("l.toks").alias("lt"), F.col("r.toks").alias("rt"))
+    d = met.join(c.alias("l"), F.col("lt") == F.col("l.toks")).join(c.alias("r"), (F.col("rt") == F.col("r.toks")) & (F.col("l.store") < F.col("r.store")))
+    brand = (F.col("l.brand") != NO_BRAND) & (F.col("r.brand") != NO_BRAND) & (F.col("l.brand") != F.col("r.brand"))
+    rule = F.when(brand, "brand_mismatch").when(F.col("l.unit") != F.col("r.unit"), "unit_mismatch").otherwise("passed")
+    return d.groupBy(rule.alias("rule")).agg(F.sum(F.col("l.n") * F.col("r.n")).alias("pairs"))
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, 64 characters and more at a time as bits of one integer."""
     at: dict[str, int] = {}
@@ -215,12 +233,12 @@ def merged_components(entities: DataFrame, entity: str, member: str, accepted: D
     return components(edges.unionByName(accepted.select(F.col(left).alias("a"), F.col(right).alias("b"))), "a", "b")
 
 
-def preview_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 60, gate: int = 25) -> DataFrame:
-    """Composite preview score of every candidate pair that passes the name gate."""
+def preview_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 60, gate: int = 25, lowest: int | None = None) -> DataFrame:
+    """Composite preview score of every candidate pair that passes the name gate and reaches the threshold (or ``lowest``, where a fallback needs those below)."""
     side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "brand")))
     d = cut(pairs, "pairs").df.join(side("left"), "left_id").join(side("right"), "right_id")
     d = d.join(name_scores(d, "left_name", "right_name"), ["left_name", "right_name"]).filter(F.col("ts") >= max(45, threshold - gate))
     none = (F.col("left_brand") == NO_BRAND) | (F.col("right_brand") == NO_BRAND)
     brand = F.when((F.col("left_brand") == F.col("right_brand")) & ~none, 100).when(none, 50).otherwise(20)
     score = F.rint((F.col("ts") * 75 + brand * 15 + F.greatest(100 - F.col("lev") * 3, F.lit(0)) * 10) / 100.0).cast("int")
-    return d.select("left_id", "right_id", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= threshold)
+    return d.select("left_id", "right_id", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= (threshold if lowest is None else lowest))

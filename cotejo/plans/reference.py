@@ -536,13 +536,13 @@ def integrate_accepted(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT id_producto_maestro, id_retailer, fecha_captura, id_precio, round_even(precio_clp::DOUBLE, 0) AS precio FROM precio_retailer WHERE precio_clp > 0)
 SELECT id_producto_maestro, id_retailer, id_precio, precio FROM (SELECT *, lag(precio) OVER (PARTITION BY id_producto_maestro, id_retailer ORDER BY fecha_captura, id_precio) AS b FROM s) WHERE b IS NULL OR b <> precio""")
 def stream_price_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming job run to its end over the table's files."""
+    """The streaming job run to its end in several batches, among which captures are spread regardless of their time."""
     schema = table(spark, sf, "precio_retailer").schema
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     source = f"{out}/source"
-    table(spark, sf, "precio_retailer").write.parquet(source)
-    refresh.run_changes(refresh.price_stream(spark, source, schema).select(*schema.names), out, f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/changes").select(*PAIR, "id_precio", "precio")
+    table(spark, sf, "precio_retailer").repartition(6, "id_precio").write.parquet(source)
+    refresh.run_changes(refresh.price_stream(spark, source, schema, files_per_batch=2).select(*schema.names), out, f"{out}/checkpoint")
+    return refresh.read_changes(spark, out).select(*PAIR, "id_precio", "precio")
 
 
 @query("""WITH h AS (SELECT store, product_url, 'https://x.example/tienda/lista/cat10/' || store || '-Ofertas' AS hint FROM bronze_product WHERE store IN ('ferralto', 'maderix')),

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions import pages
@@ -25,6 +26,13 @@ def test_feeds_and_hints(spark, tmp_path):
     assert d.first()["precio_normal"] == 5
     (tmp_path / "h.json").write_text(json.dumps({"hints_by_product_url": {"https://x.cl/a/p/p?u=1": "https://x.cl/cat?x", "": "https://x.cl/c", "https://x.cl/b": ""}}))
     assert [tuple(r) for r in read_hints(spark, {"easy": str(tmp_path / "h.json")}).collect()] == [("easy", "https://x.cl/a/p", "https://x.cl/cat")]
+    (tmp_path / "h2.json").write_text('{"hints": {"https://x.cl/z?1": "https://x.cl/zz", "https://x.cl/z?2": "https://x.cl/aa"}}')
+    assert [r["category_url"] for r in read_hints(spark, {"easy": str(tmp_path / "h2.json"), "no": str(tmp_path / "none")}).collect()] == ["https://x.cl/aa"]
+    (tmp_path / "bad.json").write_text("no json")
+    with pytest.warns(UserWarning, match="no feed"):
+        assert read_feeds(spark, {"a": str(tmp_path / "easy.json"), "b": str(tmp_path / "none.json")}).select("store").distinct().count() == 1
+    with pytest.raises(Exception, match="no products array"):
+        read_feeds(spark, {"easy": str(tmp_path / "bad.json")}).collect()
     assert read_feeds(spark, {}).collect() == [] and read_hints(spark, {}).collect() == []
 
 
@@ -42,9 +50,10 @@ def test_versions_and_ledger(spark, tmp_path):
     assert read_version(spark, root).count() == 3
     write_version(spark.range(5), root)
     assert read_version(spark, root).count() == 5
-    for k in range(2):
+    for k in (0, 1, 1):  # the last batch is written twice
         append_ledger(spark.createDataFrame([(f"p{k}", "accept")], "k string, auto_action string"), f"{tmp_path}/l", "2026-01-01")
-    assert spark.read.parquet(f"{tmp_path}/l").select("tx_id").distinct().count() == 2
+    back = spark.read.parquet(f"{tmp_path}/l")
+    assert back.count() == 2 and back.select("tx_id").distinct().count() == 2
 
 
 def test_pages(spark):
@@ -72,9 +81,13 @@ def test_stream_of_changes_in_batches(spark, tmp_path):
         row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = refresh.price_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
     refresh.run_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(r["id_precio"] for r in spark.read.parquet(f"{tmp_path}/out/changes").collect()) == [0, 2, 5]
+    assert sorted(r["id_precio"] for r in refresh.read_changes(spark, f"{tmp_path}/out").collect()) == [0, 2, 5]
     refresh.run_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp"))  # nothing new: nothing is added
-    assert spark.read.parquet(f"{tmp_path}/out/changes").count() == 3
+    assert refresh.read_changes(spark, f"{tmp_path}/out").count() == 3
+    late = spark.createDataFrame([(1, 1, t + dt.timedelta(hours=30), 90, 20)], "a int, b int, c timestamp, d int, e int").selectExpr("a id_producto_maestro", "b id_retailer", "c fecha_captura", "d id_precio", "cast(e as decimal(12,2)) precio_clp")
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # older than the state: the capture after it is no change any more
+    refresh.run_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r["id_precio"] for r in refresh.read_changes(spark, f"{tmp_path}/out").collect()) == [0, 5, 90]
 
 
 def test_stream_windows_and_duplicates(spark, tmp_path):
