@@ -33,6 +33,7 @@ SPEC_PATTERNS = (
     ("volumen", r"(\d+(?:[.,]\d+)?)\s*(?:lt|l|litros?)\b", "lt"),
     ("presentacion_galon", r"(\d+\s*/\s*\d+)\s*gal\b", "gal"),
 )
+# fixed value: how a unit price is written
 UNIT_PRICE = r"\$\s*([\d.,]+)\s*(?:por|/)\s*(m[23]?|kgs?|kilos?|gr|gramos?|g|lts?|litros?|ml|un(?:idad(?:es)?)?|u)\b"
 
 
@@ -105,6 +106,11 @@ def quality_flags(brand: Column, sku: Column, price: Column, unit: Column, unit_
     return F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in checks)))
 
 
+def parse_number(value: Column) -> Column:
+    """A numeric price as a whole number, halves to the even one."""
+    return F.rint(value.cast("double")).cast("bigint")
+
+
 def parse_price(text: Column) -> Column:
     """All digits of a text as one number; null without digits."""
     return F.nullif(F.regexp_replace(text, r"[^0-9]", ""), F.lit("")).try_cast("bigint")
@@ -158,6 +164,24 @@ def untracked_url(url: Column) -> Column:
     return F.when(q == "", bare).otherwise(F.concat(bare, F.lit("?"), q))
 
 
+def bare_url(url: Column) -> Column:
+    """URL up to the first # or ?."""
+    return F.substring_index(F.substring_index(url, "#", 1), "?", 1)
+
+
+def listing_url(url: Column) -> Column:
+    """URL without fragment, a repeated /p suffix collapsed; the query stays."""
+    u = clean_text(F.coalesce(url, F.lit("")))
+    q = url_part(u, "query")
+    return F.concat(canonical_url(u), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+
+
+def search_url(base: str, query: Column) -> Column:
+    """Search page of a shop for a normalised query; null if nothing of it is left."""
+    q = normalize_name(query)
+    return F.when(q != "", F.concat(F.lit(f"{base}/search?q="), F.url_encode(q)))
+
+
 def url_decoded(x: Column) -> Column:
     """Percent-decoding in which '+' stays '+'; undecodable text stays as it is."""
     return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
@@ -167,9 +191,13 @@ def url_segments(url: Column) -> Column:
     return F.filter(F.split(url_decoded(url_part(url, "path")), "/"), lambda s: s != "")
 
 
+# fixed values: where shops' paths hold the SKU
+SKU_PATTERNS = (r"/articulo/\d+/[^/]+/(\d+)", r"-([0-9]{5,})/p", r"/(\d{5,})$")
+
+
 def sku_from_url(url: Column) -> Column:
     path = url_decoded(url_part(url, "path"))
-    found = (F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in (r"/articulo/\d+/[^/]+/(\d+)", r"-([0-9]{5,})/p", r"/(\d{5,})$"))
+    found = (F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in SKU_PATTERNS)
     return F.coalesce(*found, F.lit(""))
 
 

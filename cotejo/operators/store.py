@@ -7,6 +7,7 @@ that adaptive execution broadcasts what proves small.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,3 +165,23 @@ def url_matches(pages: DataFrame, url: str, queries: DataFrame, query: str) -> D
     words = F.split(F.regexp_replace(F.lower(url), "[^a-z0-9]+", " "), " ")
     hit = F.array_contains(F.col("_w"), F.lower(F.col(query)))
     return pages.withColumn("_w", words).join(queries, hit, "left_semi").drop("_w")
+
+
+def _overlaps(word: str):
+    return lambda w: F.contains(w, F.lit(word)) | F.contains(F.lit(word), w)
+
+
+def url_matches_any(pages: DataFrame, url: Column, queries: list[str]) -> DataFrame:
+    """Pages of whose URL a word contains a word of a query or is contained in one; without queries all pages.
+
+    Words have three letters or digits at least; queries come from a command
+    line, so they are expressions and no table.
+    """
+    words = [w for q in queries for w in re.findall(r"[a-z0-9]{3,}", q.lower())]
+    if not queries:
+        return pages
+    slug = F.filter(F.split(F.regexp_replace(F.lower(url), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 3)
+    hit = F.lit(False)
+    for q in words:
+        hit = hit | F.exists(slug, _overlaps(q))
+    return pages.filter(hit)
