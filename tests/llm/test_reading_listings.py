@@ -2,6 +2,7 @@
 
 import base64
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from cotejo.llm.listings import GRAMS, all_pairs, batch_cosines, same_item_groups, vocabulary
 from cotejo.llm.mail import own_text
 from cotejo.llm.parse import brand_key, parse_listing
-from cotejo.llm.reading import reading_levels
+from cotejo.llm import reading
+from cotejo.llm.reading import FLOOR, PASSED_VARIANCE, PASSED_WEIGHT, PRIOR, TOLERANCE, author_sentences, blocks, propagate, reading_levels
+from cotejo.session import cut
 
 SF = "/root/testdata/sf0.1"
 OWN = "El precio informado incluye el transporte hasta la obra. Faltan algunas planchas."
@@ -64,7 +67,6 @@ def test_own_text_of_long_and_broken_input():
     assert isinstance(own_text('Content-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Transfer-Encoding: base64\n\n%%%=\n--b'), str)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 def test_parts_nested_to_any_depth():
     raw = "Content-Type: text/plain\n\nel informe llega hoy"
     for k in range(60):
@@ -72,6 +74,7 @@ def test_parts_nested_to_any_depth():
     assert own_text(raw) == "el informe llega hoy"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 def test_held_out_accuracy(spark):
     docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/reading_sample.parquet")
     train, held = marks.filter("doc_id % 2 = 0"), marks.filter("doc_id % 2 = 1")
@@ -79,6 +82,49 @@ def test_held_out_accuracy(spark):
     assert len(got) == held.count() and sum(r["nivel"] == r["want"] for r in got) / len(got) >= 0.95
 
 
+def grading(rows, graded):
+    """Brute force of the rounds: (sentence word lists with their document) and grades of documents."""
+    mean = sum(graded.values()) / len(graded)
+    nodes = [(doc, w + list(zip(w, w[1:], strict=False))) for doc, w in rows]
+    score, say, rounds = {}, {}, 0
+    while True:
+        sums = {}
+        for doc, ns in nodes:
+            known = [n for n in ns if n in score]
+            if doc in graded:
+                d, weight, extra = graded[doc], 1.0, 0.0
+            elif known:
+                d, weight, extra = sum(score[n] * say[n] for n in known) / sum(say[n] for n in known), PASSED_WEIGHT, PASSED_VARIANCE
+            else:
+                continue
+            for n in ns:
+                a = sums.setdefault(n, [0.0, 0.0, 0.0])
+                a[0] += weight
+                a[1] += weight * d
+                a[2] += weight * (d * d + extra)
+        new = {n: (s + PRIOR * mean) / (k + PRIOR) for n, (k, s, _) in sums.items()}
+        moved = max(abs(v - score.get(n, 0.0)) for n, v in new.items())
+        score, say, rounds = new, {n: 1 / (max(q / k - (s / k) ** 2, 0.0) + FLOOR) for n, (k, s, q) in sums.items()}, rounds + 1
+        if moved <= TOLERANCE:
+            return score, rounds
+
+
+@pytest.mark.parametrize("block_docs", [2, 1000])
+def test_rounds_match_brute_force_and_end(spark, monkeypatch, block_docs):
+    rnd = random.Random(5)
+    docs = {i: [[rnd.choice("abcdefghij"[: 4 + i % 7]) * 3 for _ in range(rnd.randint(1, 6))] for _ in range(5)] for i in range(12)}
+    graded = {0: 1.0, 6: 3.0, 7: 2.0}
+    table = spark.createDataFrame([(i, "Subject: x\n\n" + ". ".join(" ".join(s) for s in d)) for i, d in docs.items()], "doc_id long, text string")
+    marks = spark.createDataFrame(list(graded.items()), "doc_id long, grade double")
+    packed = blocks(author_sentences(table, 1).join(marks, "doc_id", "left"), block_docs)
+    scores, rounds = propagate(cut(packed, "blocks").df)
+    want, n = grading([(i, s) for i, d in docs.items() for s in d], graded)
+    assert rounds == n and np.allclose(sorted(r["score"] for r in scores.df.collect()), sorted(want.values()))
+    monkeypatch.setattr(reading, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="not stable"):
+        propagate(cut(packed, "blocks").df, tolerance=-1.0)
+
+
 def test_levels_of_odd_tables(spark):
     text = "Subject: x\n\n" + "La pala llega hoy con el balde. " * 10
     docs = spark.createDataFrame([(1, text, "clash"), (2, None, "c"), (None, text, "c"), (3, "corto", "c")], "doc_id long, text string, nivel string")
