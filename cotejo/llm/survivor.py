@@ -63,8 +63,8 @@ def survivors(candidates: DataFrame, group: str, ident: str, preference: Sequenc
 
 
 def newest(rows: DataFrame, ident: str, date: str, fields: Sequence[str]) -> DataFrame:
-    """Each record's row with the greatest date (missing dates last); among equal dates the greatest field values, so the result is one defined row."""
-    cells = [F.col(date).isNotNull(), F.col(date), *(F.col(f) for f in fields)]
+    """Each record's row with the greatest date (missing and unreadable ones last); among equal dates the greatest field values, so the result is one defined row."""
+    cells = [F.try_to_date(date).isNotNull(), F.try_to_date(date), *(F.col(f) for f in fields)]
     top = F.max(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cells)))).alias("_t")
     d = rows.filter(F.col(ident).isNotNull()).groupBy(ident).agg(top)
-    return d.select(ident, F.col("_t.c1").alias(date), *(F.col("_t")[f"c{i + 2}"].alias(f) for i, f in enumerate(fields)))
+    return d.select(ident, F.col("_t.c1").cast("string").alias(date), *(F.col("_t")[f"c{i + 2}"].alias(f) for i, f in enumerate(fields)))

@@ -76,3 +76,9 @@ def test_newest(spark):
     rows = [("a", None, "x"), ("a", "2026-01-02", "y"), ("a", "2026-01-01", "z"), ("b", None, None), (None, "2026-01-01", "q")]
     got = {tuple(r) for r in newest(spark.createDataFrame(rows, "id string, d string, f string"), "id", "d", ["f"]).collect()}
     assert got == {("a", "2026-01-02", "y"), ("b", None, None)}
+
+
+def test_newest_takes_unreadable_dates_last(spark):
+    rows = [("a", "sin fecha", "x"), ("a", "2026-01-02", "y"), ("a", None, "z"), ("b", "sin fecha", "x")]
+    got = newest(spark.createDataFrame(rows, "i string, d string, v string"), "i", "d", ["v"])
+    assert {tuple(r) for r in got.collect()} == {("a", "2026-01-02", "y"), ("b", None, "x")}
