@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.mail import own_text
-from cotejo.session import Cut, cut, drop_path, shared_dir
+from cotejo.session import Cut, arrow_rows, cut, drop_path, shared_dir
 
 #: documents and words that a block holds at most (a longer document is a block of its own)
 BLOCK_DOCS, BLOCK_WORDS = 1000, 500_000
+#: documents that Python gets at a time, and bytes of a row group of parsed ones: however large the row groups of the input, a task packs few blocks
+BATCH_DOCS, GROUP_BYTES = 1000, 16 << 20
 #: largest change of a word's difficulty at which rounds end, and rounds after which they fail
 TOLERANCE, MAX_ROUNDS = 0.05, 100
 #: weight and variance of a difficulty that a sentence passes on, beside a grade's 1 and 0: else the many ungraded sentences would level all words
@@ -275,19 +277,20 @@ def reading_levels(
     """
     spark = docs.sparkSession
     marks = graded.filter("doc_id is not null and nivel is not null").groupBy("doc_id").agg(F.max("nivel").cast("double").alias("grade"))
-    parsed = cut(author_sentences(docs, min_words), "sentences")
-    packed = cut(blocks(parsed.df.join(marks, "doc_id", "left"), block_docs), "blocks")
-    parsed.drop()
-    # written once in buckets: joins by block move only what is asked and answered
     name, path = f"cotejo_blocks_{uuid.uuid4().hex[:12]}", f"{shared_dir(spark)}/bucketed-{uuid.uuid4().hex[:12]}"
-    buckets = min(10_000, max(1, packed.df.select("block").count()))
-    packed.df.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
-    packed.drop()
+    with arrow_rows(spark, BATCH_DOCS):
+        parsed = cut(author_sentences(docs, min_words), "sentences", {"parquet.block.size": str(GROUP_BYTES)})
+        n, words = parsed.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+        # written once in buckets: joins by block move only what is asked and answered
+        buckets = min(10_000, max(1, -(-n // block_docs), -(-words // BLOCK_WORDS)))
+        blocks(parsed.df.join(marks, "doc_id", "left"), block_docs).write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
+        parsed.drop()
     bucketed = spark.table(name)
-    scores, _ = propagate(bucketed, tolerance, max_rounds)
-    answered = _answered(bucketed, scores.df.drop("moved"))
-    bounds = level_bounds(answered)
-    out = cut(answered.mapInArrow(lambda batches: _grade(batches, bounds), "doc_id long, nivel int, difficulty double"), "levels")
+    with arrow_rows(spark, 1):  # a bucket may hold several blocks
+        scores, _ = propagate(bucketed, tolerance, max_rounds)
+        answered = _answered(bucketed, scores.df.drop("moved"))
+        bounds = level_bounds(answered)
+        out = cut(answered.mapInArrow(lambda batches: _grade(batches, bounds), "doc_id long, nivel int, difficulty double"), "levels")
     scores.drop()
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path)
