@@ -6,6 +6,9 @@ Rows have ``id``, ``store``, ``name`` (normalised), ``brand``, ``unit``,
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,27 +21,94 @@ from cotejo.session import Cut, cut
 PENALTIES = {"missing_brand": 5, "missing_sku": 3, "missing_effective_price": 2, "unknown_unit": 2, "empty_name_normalized": 10}
 OUTLIER_RATIO, OUTLIER_PENALTY = 3.0, 15
 CONFIDENT, REVIEW = 90, 78
+#: row ids in one cell where pairs of classes become pairs of rows, and pairs of rows that one task unfolds
+CHUNK, TASK_PAIRS = 500, 2_000_000
 
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Ids of rows of different stores that share a token and whose brands and units don't conflict; each pair once.
+class Classes(NamedTuple):
+    """Rows that pairing and scoring can't tell apart, as written tables.
+
+    ``groups``: ``cls``, ``kind``, ``n`` rows and the columns asked for; ``kinds``:
+    ``kind``, ``name``, ``brand``, ``unit``; ``nodes``: ``node``, ``cls``, ``store``
+    and ``n`` of a class's rows in one store; ``members``: ``cls``, ``store`` and
+    ``ids``, structs of about CHUNK ids in a cell.
+    """
+
+    groups: DataFrame
+    kinds: DataFrame
+    nodes: DataFrame
+    members: DataFrame
+
+
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
+
+
+def classes(rows: DataFrame, *more: str) -> Classes:
+    """Classes of rows with equal ``name``, ``brand``, ``unit`` and ``more``; rows without a store pair with none."""
+    kind, key = ["name", "brand", "unit"], ["name", "brand", "unit", *more]
+    base = cut(rows.filter(F.col("store").isNotNull()).select("id", "store", *key), "rows").df
+    groups = cut(base.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes").df
+    kinds = cut(groups.select(*kind).distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds").df
+    of = base.join(groups, _same(base, groups, key)).select("id", "store", "cls", "n")
+    part = F.pmod(F.xxhash64("id"), 1 + F.floor(F.col("n") / CHUNK))
+    members = cut(of.groupBy("cls", "store", part.alias("_part")).agg(F.collect_list(F.struct("id")).alias("ids")).drop("_part"), "members").df
+    nodes = cut(members.groupBy("cls", "store").agg(F.sum(F.size("ids")).alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes").df
+    return Classes(groups.join(kinds, _same(groups, kinds, kind)).select("cls", "kind", "n", *(groups[c] for c in more)), kinds, nodes, members)
+
+
+def kind_pairs(kinds: DataFrame) -> DataFrame:
+    """``lk``, ``rk`` of kinds that share a token and whose brands and units don't conflict, in both orders; each kind with itself.
 
-    The blocking key is (token, brand): a row with a brand meets rows of its
-    brand; a row without one meets all.  Of several shared tokens only the
-    smallest yields the pair, so no distinct over pairs is needed.
+    The blocking key is (token, brand): a kind with a brand meets kinds of its
+    brand; one without meets all.  Of several shared tokens only the smallest
+    yields the pair, so no distinct over pairs is needed.
     """
-    base = rows.select("id", "store", "brand", "unit", F.array_sort(name_tokens(F.col("name"))).alias("toks")).filter(F.size("toks") > 0)
+    base = kinds.select("kind", "brand", "unit", F.array_sort(name_tokens(F.col("name"))).alias("toks")).filter(F.size("toks") > 0)
     e = base.withColumn("tok", F.explode("toks"))
     l, r = e.alias("l"), e.alias("r")
     c = F.col
-    ok = (c("l.store") < c("r.store")) & (c("l.unit").isNull() | c("r.unit").isNull() | (c("l.unit") == c("r.unit")))
+    ok = c("l.unit").isNull() | c("r.unit").isNull() | (c("l.unit") == c("r.unit"))
     ok = ok & (c("l.tok") == c("r.tok")) & (c("l.tok") == F.array_min(F.array_intersect("l.toks", "r.toks")))
     blank = lambda x: c(x) == NO_BRAND
-    same = l.join(r, ok & (c("l.brand") == c("r.brand")))
-    left = l.filter(blank("l.brand")).join(r.filter(~blank("r.brand")), ok)
-    right = l.filter(~blank("l.brand")).join(r.filter(blank("r.brand")), ok)
-    pick = [c("l.id").alias("left_id"), c("r.id").alias("right_id")]
-    return same.select(*pick).unionByName(left.select(*pick)).unionByName(right.select(*pick))
+    same = l.join(r, ok & (c("l.brand") == c("r.brand")) & (c("l.kind") <= c("r.kind")))
+    mixed = l.filter(blank("l.brand")).join(r.filter(~blank("r.brand")), ok)
+    pick = [c("l.kind").alias("a"), c("r.kind").alias("b")]
+    met = same.select(*pick).unionByName(mixed.select(*pick))
+    one, other = F.struct(c("a").alias("lk"), c("b").alias("rk")), F.struct(c("b").alias("lk"), c("a").alias("rk"))
+    return met.select(F.inline(F.when(c("a") == c("b"), F.array(one)).otherwise(F.array(one, other))))
+
+
+def class_pairs(c: Classes) -> DataFrame:
+    """``lc``, ``rc`` with their row counts ``ln``, ``rn``: classes whose rows of different stores are candidates."""
+    g = c.groups
+    d = kind_pairs(c.kinds).join(g.select(F.col("kind").alias("lk"), F.col("cls").alias("lc"), F.col("n").alias("ln")), "lk")
+    return d.join(g.select(F.col("kind").alias("rk"), F.col("cls").alias("rc"), F.col("n").alias("rn")), "rk").select("lc", "rc", "ln", "rn")
+
+
+def row_pairs(pairs: DataFrame, c: Classes) -> DataFrame:
+    """The pairs of rows (``left_id``, ``right_id``, ``left_store``, ``right_store``) that pairs of classes stand for, with the other columns of ``pairs``.
+
+    Cells of ids meet and are unfolded at the very end; the number of tasks
+    follows the number of pairs, not the bytes before they are unfolded.
+    """
+    p = cut(pairs, "class-pairs").df
+    total = p.agg(F.sum(F.col("ln") * F.col("rn").cast("double"))).first()[0] or 0.0
+    side = lambda k, x: c.members.select(F.col("cls").alias(k), F.col("store").alias(f"{x}_store"), F.col("ids").alias(f"_{x}"))
+    d = p.drop("ln", "rn").join(side("lc", "left"), "lc").join(side("rc", "right"), "rc").filter("left_store < right_store").drop("lc", "rc")
+    if total > TASK_PAIRS:
+        d = d.repartition(int(min(10_000, total // TASK_PAIRS + 1)))
+    d = d.withColumn("_left", F.explode("_left")).withColumn("_right", F.explode("_right"))
+    return d.select(F.col("_left.id").alias("left_id"), F.col("_right.id").alias("right_id"), *(x for x in d.columns if x not in ("_left", "_right")))
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Ids of rows of different stores that share a token and whose brands and units don't conflict; each pair once.
+
+    Equal rows are paired as one.
+    """
+    c = classes(rows)
+    return row_pairs(class_pairs(c), c).select("left_id", "right_id")
 
 
 def blocking_counts(rows: DataFrame) -> DataFrame:

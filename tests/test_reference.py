@@ -94,6 +94,17 @@ def test_candidate_pairs_brute_force(spark):
     assert got == want
 
 
+def test_equal_rows_are_paired_as_one(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 3)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 10)
+    rows = spark.range(90).selectExpr("id", "concat('s', id % 3) as store", "concat('disco ', if(id % 2 = 0, 'corte', 'metal')) as name", "'X' as brand", "cast(null as string) as unit")
+    c = matching.classes(rows)
+    assert (c.groups.count(), c.nodes.count(), matching.kind_pairs(c.kinds).count()) == (2, 6, 4)
+    assert c.members.count() > 6
+    got = [tuple(r) for r in matching.candidate_pairs(rows).collect()]
+    assert len(got) == 3 * 30 * 30 and set(got) == {(a, b) for a in range(90) for b in range(90) if a % 3 < b % 3}
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
