@@ -312,3 +312,11 @@ def preview_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 60, gate:
     brand = F.when((F.col("left_brand") == F.col("right_brand")) & ~none, 100).when(none, 50).otherwise(20)
     score = F.rint((F.col("ts") * 75 + brand * 15 + F.greatest(100 - F.col("lev") * 3, F.lit(0)) * 10) / 100.0).cast("int")
     return d.select("left_id", "right_id", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= (threshold if lowest is None else lowest))
+
+
+def store_counts(rows: DataFrame) -> DataFrame:
+    """``left_store``, ``right_store``, ``pairs``: candidate pairs by stores, counted and not formed."""
+    c = classes(rows)
+    side = lambda k, x: c.nodes.select(F.col("cls").alias(k), F.col("store").alias(f"{x}_store"), F.col("n").alias(f"_{x}"))
+    d = class_pairs(c).join(side("lc", "left"), "lc").join(side("rc", "right"), "rc").filter("left_store < right_store")
+    return d.groupBy("left_store", "right_store").agg(F.sum(F.col("_left") * F.col("_right")).alias("pairs"))

@@ -105,6 +105,20 @@ def test_equal_rows_are_paired_as_one(spark, monkeypatch):
     assert len(got) == 3 * 30 * 30 and set(got) == {(a, b) for a in range(90) for b in range(90) if a % 3 < b % 3}
 
 
+MANY = 60_000  # equal rows: their pairs can be counted or ranked, but not formed
+
+
+def many(spark):
+    """Equal rows of two stores: 900 million pairs of one score."""
+    return spark.range(MANY).selectExpr(
+        "id", "concat('s', id % 2) as store", "'disco corte' as name", "'X' as brand", "cast(null as string) as unit", "map('d', '3mm') as specs", "cast(array() as array<string>) as flags", "900.0 + id % 7 as price"
+    )
+
+
+def test_pairs_by_store_are_counted(spark):
+    assert [tuple(r) for r in matching.store_counts(many(spark)).collect()] == [("s0", "s1", (MANY // 2) ** 2)]
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
