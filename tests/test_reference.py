@@ -105,6 +105,32 @@ def test_equal_rows_are_paired_as_one(spark, monkeypatch):
     assert len(got) == 3 * 30 * 30 and set(got) == {(a, b) for a in range(90) for b in range(90) if a % 3 < b % 3}
 
 
+def test_scores_of_classes_are_those_of_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 2)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 5)
+    rows = [(i, f"s{i % 3}", ("disco corte", "disco metal")[i % 2], ("X", "SIN MARCA")[i // 20], (None, "kg")[i % 5 == 0], {"d": f"{3 + i % 4}mm"} if i % 7 else {}, ["missing_sku"] * (i % 11 == 0), (100.0, 350.0, None, 0.0)[i % 4]) for i in range(40)]
+    d = spark.createDataFrame(rows, "id int, store string, name string, brand string, unit string, specs map<string,string>, flags array<string>, price double")
+    assert matching.scorable(d).groups.count() < 40
+    got = {(r["left_id"], r["right_id"]): (r["penalty"], r["score"], r["conflicts"], r["tier"]) for r in matching.scored_pairs(d).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[1] < b[1] and (a[3] == b[3] or "SIN MARCA" in (a[3], b[3])) and (not a[4] or not b[4] or a[4] == b[4]):
+                ts, lev = matching.token_set_ratio(a[2], b[2]), 0 if a[2] == b[2] else 4
+                brand = {2: 40, 1: 25, 0: 100}[(a[3] == "SIN MARCA") + (b[3] == "SIN MARCA")]
+                both = a[5] and b[5]
+                x, y = (int(v[5].get("d", "0mm")[:-2]) for v in (a, b))
+                clash = both and abs(x - y) / max(x, y) > 0.1
+                numeric = 100 if both and x == y else 55 if a[5] or b[5] else 70
+                unit = 100 if a[4] and a[4] == b[4] else 60 if a[4] or b[4] else 70
+                penalty = 3 * (len(a[6]) + len(b[6]))
+                outlier = bool(a[7] and b[7] and max(a[7], b[7]) / min(a[7], b[7]) > 3)
+                score = max(round((ts * 65 + brand * 20 + numeric * 10 + unit * 5) / 100) - penalty - 15 * outlier, 0)
+                tier = "rejected" if clash else "confident" if score >= 90 and ts >= 90 and brand == 100 else "review" if score >= 78 else "rejected"
+                want[a[0], b[0]] = (penalty, score, "d" if clash else "", tier)
+    assert got == want and any(v[3] == "confident" for v in want.values())
+
+
 MANY = 60_000  # equal rows: their pairs can be counted or ranked, but not formed
 
 
