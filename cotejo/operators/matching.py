@@ -359,3 +359,12 @@ def store_counts(rows: DataFrame) -> DataFrame:
     side = lambda k, x: c.nodes.select(F.col("cls").alias(k), F.col("store").alias(f"{x}_store"), F.col("n").alias(f"_{x}"))
     d = class_pairs(c).join(side("lc", "left"), "lc").join(side("rc", "right"), "rc").filter("left_store < right_store")
     return d.groupBy("left_store", "right_store").agg(F.sum(F.col("_left") * F.col("_right")).alias("pairs"))
+
+
+def tier_counts(rows: DataFrame) -> DataFrame:
+    """``tier``, ``numeric_conflict``, ``pairs``, ``low`` and ``high`` score of all candidate pairs, counted by classes and not formed."""
+    d = class_scores(scorable(rows))
+    before = lambda y: F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + F.when(x["store"] < y["store"], x["n"]).otherwise(0))
+    n = F.aggregate("rs", F.lit(0).cast("long"), lambda a, y: a + y["n"] * before(y))
+    d = d.withColumn("_n", n).filter("_n > 0")
+    return d.groupBy("tier", (F.col("conflicts") != "").alias("numeric_conflict")).agg(F.sum("_n").alias("pairs"), F.min("score").alias("low"), F.max("score").alias("high"))

@@ -145,6 +145,10 @@ def test_pairs_by_store_are_counted(spark):
     assert [tuple(r) for r in matching.store_counts(many(spark)).collect()] == [("s0", "s1", (MANY // 2) ** 2)]
 
 
+def test_tiers_are_counted(spark):
+    assert [tuple(r) for r in matching.tier_counts(many(spark)).collect()] == [("confident", False, (MANY // 2) ** 2, 98, 98)]
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
