@@ -149,6 +149,14 @@ def test_tiers_are_counted(spark):
     assert [tuple(r) for r in matching.tier_counts(many(spark)).collect()] == [("confident", False, (MANY // 2) ** 2, 98, 98)]
 
 
+def test_best_pairs_for_review_are_ranked(spark):
+    rows = many(spark).withColumn("flags", F.array(F.lit("missing_brand")))
+    got = [(r["left_id"], r["right_id"], r["score"], r["tier"]) for r in matching.review_pairs(rows, 70_000).filter("left_id < 5").collect()]
+    assert len(got) == 70_000 and {g[2:] for g in got} == {(88, "review")}
+    best = [(r["left_id"], r["right_id"]) for r in matching.review_pairs(rows, 4).collect()]
+    assert best == [(0, 1), (0, 3), (0, 5), (0, 7)]
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
