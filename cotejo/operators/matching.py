@@ -308,25 +308,6 @@ def short_hash(ids: Column) -> Column:
     return F.substring(F.sha1(F.array_join(F.array_sort(ids), "|")), 1, 16)
 
 
-def golden_records(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and an id made of the members.
-
-    The id needs all member ids of a component in one cell, as its definition has it.
-    """
-    sure = cut(scored.filter("tier = 'confident'").select("left_id", "right_id", "score"), "confident").df
-    comp = cut(components(sure, "left_id", "right_id"), "components").df
-    m = comp.join(rows, "id")
-    best = F.struct(F.size("flags").alias("a"), (-F.length("name")).alias("b"), F.col("id").alias("c"))
-    per = m.groupBy("component").agg(
-        F.countDistinct("store").alias("stores"), F.count(F.lit(1)).alias("members"), F.min_by("name", best).alias("name"), F.min_by("brand", best).alias("brand"),
-        F.min(F.when(F.col("price") > 0, F.col("price"))).alias("price_reference"), short_hash(F.collect_set(F.col("id").cast("string"))).alias("gold_id"),
-    ).filter("stores >= 2")
-    s = sure.join(comp.select(F.col("id").alias("left_id"), "component"), "left_id").groupBy("component").agg(
-        F.count(F.lit(1)).alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bround(F.avg("score"), 2).alias("avg_score")
-    )
-    return per.join(s, "component")
-
-
 def are_similar(left: Column, right: Column, threshold: int = 90) -> Column:
     """Whether the token-set ratio of two names reaches the threshold."""
     return token_similarity(left, right) >= threshold
@@ -390,3 +371,29 @@ def review_pairs(rows: DataFrame, most: int) -> DataFrame:
     c = scorable(rows)
     d = best_pairs(class_scores(c, REVIEW).filter("tier = 'review'").drop("ln", "rn", "ls", "rs"), c, most)
     return d.select("left_id", "right_id", "left_store", "right_store", *SIGNALS, "tier")
+
+
+def golden_records(rows: DataFrame) -> DataFrame:
+    """One record for each component of confident pairs with rows of two stores: base row, price reference, scores and an id made of the members.
+
+    Rows of one class and store have the same partners, so they are one vertex.
+    The id needs all member ids of a component in one cell, as its definition has it.
+    """
+    c = scorable(rows)
+    sure = class_scores(c, CONFIDENT).filter("tier = 'confident'").select("lc", "rc", "score", F.col("ls.store").alias("_l"), F.col("rs.store").alias("_r"))
+    side = lambda k, x: c.nodes.select(F.col("cls").alias(k), F.col("store").alias(f"{x}_store"), F.col("node").alias(x), F.col("n").alias(f"_{x}"))
+    d = sure.filter(F.array_min("_l") < F.array_max("_r")).drop("_l", "_r").join(side("lc", "left"), "lc").join(side("rc", "right"), "rc").filter("left_store < right_store")
+    edges = cut(d.select("left", "right", "score", (F.col("_left") * F.col("_right")).alias("n")), "confident").df
+    comp = cut(components(edges, "left", "right").select(F.col("id").alias("node"), F.col("component").alias("_comp")), "components").df
+    ids = c.members.join(c.nodes.select("cls", "store", "node"), ["cls", "store"]).join(comp, "node").select("_comp", F.explode("ids.id").alias("id"))
+    m = ids.join(rows, "id")
+    best = F.struct(F.size("flags").alias("a"), (-F.length("name")).alias("b"), F.col("id").alias("c"))
+    per = m.groupBy("_comp").agg(
+        F.min("id").alias("component"),
+        F.countDistinct("store").alias("stores"), F.count(F.lit(1)).alias("members"), F.min_by("name", best).alias("name"), F.min_by("brand", best).alias("brand"),
+        F.min(F.when(F.col("price") > 0, F.col("price"))).alias("price_reference"), short_hash(F.collect_set(F.col("id").cast("string"))).alias("gold_id"),
+    ).filter("stores >= 2")
+    s = edges.join(comp.withColumnRenamed("node", "left"), "left").groupBy("_comp").agg(
+        F.sum("n").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bround(F.sum(F.col("score") * F.col("n")).cast("double") / F.sum("n"), 2).alias("avg_score")
+    )
+    return per.join(s, "_comp").drop("_comp")
