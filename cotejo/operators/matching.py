@@ -397,3 +397,21 @@ def golden_records(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bround(F.sum(F.col("score") * F.col("n")).cast("double") / F.sum("n"), 2).alias("avg_score")
     )
     return per.join(s, "_comp").drop("_comp")
+
+
+def class_previews(c: Classes, threshold: int = 60, gate: int = 25, lowest: int | None = None) -> DataFrame:
+    """Composite preview score of pairs of classes that pass the name gate and reach the threshold (or ``lowest``, where a fallback needs those below)."""
+    d = named_pairs(c).filter(F.col("ts") >= max(45, threshold - gate))
+    none = (F.col("left_brand") == NO_BRAND) | (F.col("right_brand") == NO_BRAND)
+    brand = F.when((F.col("left_brand") == F.col("right_brand")) & ~none, 100).when(none, 50).otherwise(20)
+    score = F.rint((F.col("ts") * 75 + brand * 15 + F.greatest(100 - F.col("lev") * 3, F.lit(0)) * 10) / 100.0).cast("int")
+    d = d.select("lk", "rk", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= (threshold if lowest is None else lowest))
+    side = lambda k, x: c.groups.select(F.col("kind").alias(k), F.col("cls").alias(f"{x}c"), F.col("n").alias(f"{x}n"))
+    return d.join(side("lk", "l"), "lk").join(side("rk", "r"), "rk").drop("lk", "rk")
+
+
+def best_previews(rows: DataFrame, threshold: int, lowest: int, most: int) -> DataFrame:
+    """``left_id``, ``right_id``, ``score`` of the best candidate pairs down to ``lowest``."""
+    c = classes(rows)
+    p = class_previews(c, threshold, lowest=lowest)
+    return best_pairs(p.select("lc", "rc", "score"), c, most).select("left_id", "right_id", "score")

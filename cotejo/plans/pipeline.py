@@ -12,6 +12,7 @@ from cotejo.operators import entities as gold
 from cotejo.operators import matching, silver
 from cotejo.plans.reference import _BRAND_SQL, _EFF_SQL, _NAME_SQL, _SPEC_SQL, _UNIT_SQL, _bronze, _BRONZE, _part_rows, _PLAIN_SQL
 from cotejo.plans.scores_sql import _PAIRS, _TS
+from cotejo.session import cut
 from cotejo.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,9 +177,7 @@ def accepted_by_id(spark: SparkSession, sf: str) -> DataFrame:
 SELECT left_id, right_id, score, NOT EXISTS (SELECT 1 FROM s WHERE score >= 60) AS fallback FROM s WHERE score >= CASE WHEN EXISTS (SELECT 1 FROM s WHERE score >= 60) THEN 60 ELSE 30 END ORDER BY score DESC, left_id, right_id LIMIT 400""")
 def preview_best(spark: SparkSession, sf: str) -> DataFrame:
     """The 400 best previews: the limit is the feature."""
-    rows = _part_rows(spark, sf)
-    p = matching.preview_pairs(rows, matching.candidate_pairs(rows), 60, lowest=30)
-    return gold.preview_topk(p.select("left_id", "right_id", "score"))
+    return gold.preview_topk(cut(matching.best_previews(_part_rows(spark, sf), 60, 30, 400), "previews").df)
 
 
 @query("""WITH t AS (SELECT p_type AS s, upper(p_brand) AS b, lower(p_name) AS n, count(*) AS k FROM part GROUP BY ALL)

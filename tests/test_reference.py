@@ -162,6 +162,10 @@ def test_golden_records_of_many_equal_rows(spark):
     assert [(r["component"], r["members"], r["stores"], r["pairs"], r["avg_score"], r["price_reference"]) for r in got] == [(0, MANY, 2, (MANY // 2) ** 2, 98.0, 900.0)]
 
 
+def test_best_previews_are_ranked(spark):
+    assert [tuple(r) for r in matching.best_previews(many(spark), 60, 30, 3).collect()] == [(0, 1, 100), (0, 3, 100), (0, 5, 100)]
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
