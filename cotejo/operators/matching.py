@@ -323,17 +323,6 @@ def merged_components(entities: DataFrame, entity: str, member: str, accepted: D
     return components(edges.unionByName(accepted.select(F.col(left).alias("a"), F.col(right).alias("b"))), "a", "b")
 
 
-def preview_pairs(rows: DataFrame, pairs: DataFrame, threshold: int = 60, gate: int = 25, lowest: int | None = None) -> DataFrame:
-    """Composite preview score of every candidate pair that passes the name gate and reaches the threshold (or ``lowest``, where a fallback needs those below)."""
-    side = lambda p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "brand")))
-    d = cut(pairs, "pairs").df.join(side("left"), "left_id").join(side("right"), "right_id")
-    d = d.join(name_scores(d, "left_name", "right_name"), ["left_name", "right_name"]).filter(F.col("ts") >= max(45, threshold - gate))
-    none = (F.col("left_brand") == NO_BRAND) | (F.col("right_brand") == NO_BRAND)
-    brand = F.when((F.col("left_brand") == F.col("right_brand")) & ~none, 100).when(none, 50).otherwise(20)
-    score = F.rint((F.col("ts") * 75 + brand * 15 + F.greatest(100 - F.col("lev") * 3, F.lit(0)) * 10) / 100.0).cast("int")
-    return d.select("left_id", "right_id", F.col("ts").alias("token_score"), F.col("lev").alias("distance"), score.alias("score")).filter(F.col("score") >= (threshold if lowest is None else lowest))
-
-
 def store_counts(rows: DataFrame) -> DataFrame:
     """``left_store``, ``right_store``, ``pairs``: candidate pairs by stores, counted and not formed."""
     c = classes(rows)
@@ -415,3 +404,9 @@ def best_previews(rows: DataFrame, threshold: int, lowest: int, most: int) -> Da
     c = classes(rows)
     p = class_previews(c, threshold, lowest=lowest)
     return best_pairs(p.select("lc", "rc", "score"), c, most).select("left_id", "right_id", "score")
+
+
+def preview_pairs(rows: DataFrame, threshold: int = 60, gate: int = 25) -> DataFrame:
+    """Preview score of every candidate pair that passes the name gate and reaches the threshold."""
+    c = classes(rows)
+    return row_pairs(class_previews(c, threshold, gate), c).select("left_id", "right_id", "token_score", "distance", "score")

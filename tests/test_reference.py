@@ -166,6 +166,13 @@ def test_best_previews_are_ranked(spark):
     assert [tuple(r) for r in matching.best_previews(many(spark), 60, 30, 3).collect()] == [(0, 1, 100), (0, 3, 100), (0, 5, 100)]
 
 
+def test_previews_are_scored_by_classes(spark):
+    rows = many(spark).filter("id < 60")
+    assert matching.class_previews(matching.classes(rows)).count() == 1
+    got = matching.preview_pairs(rows)
+    assert got.count() == 900 and [tuple(r) for r in got.select("token_score", "distance", "score").distinct().collect()] == [(100, 0, 100)]
+
+
 def test_upsert_and_new_ids(spark):
     old, new = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, o int"), spark.createDataFrame([(2, "c", 5), (3, None, 1)], "k int, v string, o int")
     assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()} == {(1, "a"), (2, "c"), (3, None)}
