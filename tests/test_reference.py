@@ -131,6 +131,28 @@ def test_scores_of_classes_are_those_of_their_rows(spark, monkeypatch):
     assert got == want and any(v[3] == "confident" for v in want.values())
 
 
+def test_scored_pairs_move_cells_of_kinds_and_no_pairs_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CELL", 70, raising=False)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 10_000)
+    rows = spark.range(600).selectExpr(
+        "id", "concat('s', id % 2) as store", "'disco corte' as name", "'X' as brand", "cast(null as string) as unit", "map('d', concat(1 + id div 2, 'mm')) as specs", "cast(array() as array<string>) as flags", "900.0 as price"
+    )
+    sc, counts = spark.sparkContext._jsc.sc(), []
+    real = matching.cut
+    monkeypatch.setattr(matching, "cut", lambda d, *a: counts.append((x := real(d, *a)).df.count()) or x)
+
+    def moved() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        e = sc.statusStore().executorList(True)
+        return sum(e.apply(i).totalShuffleWrite() for i in range(e.size()))
+
+    before = moved()
+    got = matching.scored_pairs(rows).groupBy("tier", "numeric_score").count().collect()
+    near = sum(abs(a - b) / max(a, b) <= 0.1 for a in range(1, 301) for b in range(1, 301) if a != b)
+    assert {tuple(r) for r in got} == {("confident", 100, 300), ("confident", 55, near), ("rejected", 55, 90_000 - 300 - near)}
+    assert max(counts) <= 600 and moved() - before < 1_000_000
+
+
 MANY = 60_000  # equal rows: their pairs can be counted or ranked, but not formed
 
 
